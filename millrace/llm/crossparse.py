@@ -174,7 +174,7 @@ def predict(docs: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def filter_documents(docs: DataFrame, langs: tuple[str, ...] | None = None, least_score: float = 0.02) -> DataFrame:
+def filter_documents(docs: DataFrame, langs: tuple[str, ...] | None = None, least_score: float = 0.005) -> DataFrame:
     """Documents in a learned language (or one of langs) with at least that margin, with all their own columns."""
     sample = learn(docs)
     held = docs.sparkSession.sparkContext.broadcast(sample)
