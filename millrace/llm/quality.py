@@ -27,6 +27,8 @@ GRID = (20, 40, 60, 80, 100, 150, 200, 250, 300, 400, 500, 700)
 FEATURES = ("symbols", "capitals", "dup_lines", "repeats")
 FALSE_REJECTION, DELTA, PENALTY = 0.05, 0.05, 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Cutoffs of up to so many strata are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_STRATA = 10_000
 #: Up to so many repeated windows are looked for one by one, more by sorting; either way finds all.
 FEW = 24
 
@@ -131,11 +133,14 @@ def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     """The documents that pass, with their own columns.  Cutoffs come from the labelled rows alone; the texts are then
     measured where they lie, without shuffling them."""
     marked = docs.select("doc_id", "text", stratum).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    cuts = cut(cutoffs(scores(marked, stratum), labels, **how).select(F.col("stratum").alias("_stratum"), *[F.col(f"c_{f}").alias(f"_c_{f}") for f in FEATURES]))
+    cuts = cut(cutoffs(cut(scores(marked, stratum)), labels, **how).select(F.col("stratum").alias("_stratum"), *[F.col(f"c_{f}").alias(f"_c_{f}") for f in FEATURES]))
     m = measures(docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("und"))), F.col("text").cast("string"))
     value = feature_values()
     hits = [F.coalesce(value[f] > F.col(f"_c_{f}"), F.lit(False)) for f in FEATURES]
-    return m.join(cuts, "_stratum", "left").where(~base_failed() & ~reduce(lambda a, b: a | b, hits)).select(*[m[c] for c in docs.columns])
+    side = F.broadcast(cuts) if cuts.count() <= MOST_BROADCAST_STRATA else cuts
+    # one condition over both sides: Spark would push a part of it below and there expand the measures once per mention
+    kept = F.when(base_failed(), F.lit(False)).otherwise(~reduce(lambda a, b: a | b, hits))
+    return m.join(side, "_stratum", "left").where(kept).select(*[m[c] for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
