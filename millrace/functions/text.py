@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.errors import ManifestError
 
@@ -38,7 +39,7 @@ def text_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(F.regexp_replace(x, "[ \t\r\n]+", " "))), lambda x: x != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def unescape_all(s: pd.Series) -> pd.Series:
     return s.map(lambda a: None if a is None else [" ".join(html.unescape(x).split()) for x in a])
 

@@ -44,7 +44,7 @@ class Catalog:
 
     # --- schema
     def version(self) -> int:
-        return (self._read("_meta.json") or {"schema_version": 0})["schema_version"]
+        return (self._read("meta.json") or {"schema_version": 0})["schema_version"]
 
     def initialize(self) -> int:
         have = self.version()
@@ -55,7 +55,7 @@ class Catalog:
             if self._read(f"{name}.json") is None:
                 self._put(f"{name}.json", {"parts": []})
         if have < VERSION:
-            self._put("_meta.json", {"schema_version": VERSION})
+            self._put("meta.json", {"schema_version": VERSION})
         return VERSION
 
     def ensure_current(self) -> None:

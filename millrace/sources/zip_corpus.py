@@ -78,6 +78,7 @@ class ZipCorpus(DataSource):
 def members(spark: SparkSession, path: str, content: bool = False, partitions: int = 64, every: bool = False) -> DataFrame:
     """The subtitle members of an archive, or with every all files; directories never."""
     check_archive(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # for the lookup of one member by name
     spark.dataSource.register(ZipCorpus)
     d = spark.read.format("zipcorpus").option("path", path).option("content", str(content).lower()).option("partitions", str(partitions)).load()
     return d if every else d.where(F.col("rel_path").endswith(SUFFIX))
