@@ -118,16 +118,13 @@ def test_manifest(tmp_path):
         manifest.load(tmp_path / "none.yaml")
 
 
-class Fake:
-    """Answers by what the prompt holds."""
-
-    def complete(self, *, model, user, system=None, options=None, json_schema=None):
-        if "File 5" in user:
-            raise RuntimeError("down")
-        return search.Completion(json.dumps({"matched": "Third" in user}), model, 1)
-
-
 def test_search_end_to_end(spark, archive, tmp_path):
+    class Fake:  # local, so that it travels to the workers by value
+        def complete(self, *, model, user, system=None, options=None, json_schema=None):
+            if "File 5" in user:
+                raise RuntimeError("down")
+            return search.Completion(json.dumps({"matched": "Third" in user}), model, 1)
+
     c = tables.Catalog(spark, str(tmp_path / "cat"))
     with pytest.raises(CatalogError):
         c.ensure_current()
