@@ -67,15 +67,16 @@ class Shingler:
         cache, digest = self.cache, xxhash.xxh64_intdigest
         if len(cache) > CACHE:
             cache.clear()
-        ids = []
-        for w in found:
-            h = cache.get(w)
-            if h is None:
+        ids = list(map(cache.get, found))
+        if None in ids:
+            for i in [i for i, h in enumerate(ids) if h is None]:
+                w = found[i]
                 h = digest(w)
+                h -= h >> 63 << 64  # signed, which numpy takes faster
+                ids[i] = h
                 if len(w) <= 64:
                     cache[w] = h
-            ids.append(h)
-        w = np.array(ids, np.uint64)
+        w = np.array(ids, np.int64).view(np.uint64)
         n = len(w) - WIDTH + 1
         h = w[:n].copy()
         for k in range(1, WIDTH):
@@ -94,12 +95,18 @@ def first_pass(docs: DataFrame) -> DataFrame:
         shingler, sketch, seen = Shingler(), np.zeros(SKETCH, np.uint32), 0
         names = ["doc_id", "n", "cls", "part", "salt", "payload"]
         for b in batches:
-            n, cls = [], []
+            n, cls, held, size = [], [], [], 0
             for t in b.column("text"):
                 s = shingler.of(t.as_py())
                 n.append(len(s))
                 cls.append(class_of(s))
-                np.add.at(sketch, (s >> np.uint64(44)).astype(np.int64), 1) if len(s) < 1000 else np.add(sketch, np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=sketch)
+                held.append((s >> np.uint64(44)).astype(np.int32))
+                size += len(s)
+                if size > FLUSH:
+                    sketch += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+                    held, size = [], 0
+            if held:
+                sketch += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
             seen += sum(n)
             k = len(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
@@ -234,22 +241,22 @@ def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
             i, j = np.triu_indices(m, 1)
             a, b = owner[s[:, None] + i].ravel(), owner[s[:, None] + j].ravel()
             codes.append(a * k + b)
+    # of a long list the class that lies in most long lists of the shard leads: what its copies were made from, if any
     long_ = np.flatnonzero(size > LIST)
     rows = []
-    in_long = np.zeros(k, bool)
-    for x in long_:
-        own = owner[start[x] : start[x] + size[x]]
-        in_long[own] = True
-        open_.append(own[0] * k + own[1:])
+    lists = [owner[start[x] : start[x] + size[x]] for x in long_]
+    weight = np.bincount(np.concatenate(lists), minlength=k) if lists else np.zeros(k, np.int64)
+    in_long = weight > 0
+    for x, own in zip(long_, lists, strict=True):
+        lead = own[np.argmax(weight[own])]
+        rest = own[own != lead]
+        open_.append(np.minimum(lead, rest) * k + np.maximum(lead, rest))
         rows.append((flat[start[x]], own))
-    code, shared = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if open_:
-        extra = np.setdiff1d(np.concatenate(open_), code)
-        code, shared = np.concatenate([code, extra]), np.concatenate([shared, np.zeros(len(extra), np.int64)])
+    code, shared = np.unique(np.concatenate(codes + open_), return_counts=True) if codes or open_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     a, b = code // k, code % k
     fits = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
     a, b, shared = a[fits], b[fits], shared[fits]
-    shared = np.where(in_long[a] | in_long[b], MOST_MATCHES, shared)
+    shared = shared + np.where(in_long[a] | in_long[b], MOST_MATCHES, 0)  # long lists leave open how many more there are
     name = [x.tobytes() for x in uniq]
     out = {"token": [None] * len(a), "a": [name[i] for i in a], "b": [name[i] for i in b], "na": n[a].tolist(), "nb": n[b].tolist(), "l": np.minimum(l[a], l[b]).tolist(), "shared": shared.tolist()}
     for t, own in rows:
@@ -334,7 +341,8 @@ def class_components(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFr
     found = cut(postings(docs, sketch, shards).groupBy("shard").applyInPandas(reduce_shard, PAIRS))
     pairs = found.where("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l")).where("shared >= l")
     pairs = cut(pairs.select("a", "b", "shared"))
-    best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b")
+    either = pairs.select("a", F.col("b").alias("o"), "shared").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("o"), "shared"))
+    best = either.groupBy("a").agg(F.max(F.struct("shared", "o")).alias("m")).select(F.least("a", "m.o").alias("a"), F.greatest("a", "m.o").alias("b")).distinct()
     links = cut(verified(cut(best), docs))
     roots = components(links)
     root = lambda d, c, name: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
