@@ -65,16 +65,16 @@ class Tokens:
             cache.clear()
         out = np.empty(len(found) + 1, np.uint64)
         digest = xxhash.xxh64_intdigest
-        known = cache.get
-        ids = []
-        for w in found:
-            h = known(w)
-            if h is None:
+        ids = list(map(cache.get, found))
+        if None in ids:
+            for i in [i for i, h in enumerate(ids) if h is None]:
+                w = found[i]
                 h = digest(w)
+                h -= h >> 63 << 64  # signed, which numpy takes faster
+                ids[i] = h
                 if len(w) <= 64:
                     cache[w] = h
-            ids.append(h)
-        out[:-1] = ids
+        out[:-1] = np.array(ids, np.int64).view(np.uint64)
         out[-1] = END
         return out
 
