@@ -112,9 +112,9 @@ def test_pieces(docs, empty):
 
 
 def test_language(docs, empty):
-    out = {x.doc_id: x for x in crossparse.predict(docs, crossparse.learn(docs)).collect()}
+    out = {x.doc_id: x for x in crossparse.predict(docs, crossparse.learn(docs.where("doc_id % 5 <> 1"))).collect()}  # copies carry the next label
     assert all(out[k].lang_pred == "und" and out[k].score == 0 for k in (900, 901, 902, 903))
-    truth = [(x.lang, out[x.doc_id].lang_pred) for x in docs.collect() if x.doc_id < 900 and x.doc_id % 5 != 1 and len(x.text) > 150 and "$" not in x.text]  # copies carry the next label
+    truth = [(x.lang, out[x.doc_id].lang_pred) for x in docs.collect() if x.doc_id < 900 and x.doc_id % 5 != 1 and len(x.text) > 150 and "$" not in x.text]
     assert sum(a == b for a, b in truth) >= 0.95 * len(truth)
     assert crossparse.predict(docs, {}).where("lang_pred <> 'und'").count() == 0 and crossparse.predict(empty, crossparse.learn(empty)).count() == 0
     r = random.Random(4)
