@@ -141,11 +141,11 @@ def test_search_end_to_end(spark, archive, tmp_path):
     assert (first.files_done, first.interrupted) == (4, False) and c.read("runs").first().status == "paused"
     out = e.resume(first.run_id)
     n = c.read("ledger").where("kind <> 'error'").count()
-    assert out.files_done == 11 and out.matches == 22 and out.chunks_done == n == 35
+    assert out.files_done == 11 and out.matches == 24 and out.chunks_done == n == 35
     assert {r.status: r.files for r in search.run_progress(c, 1).collect()} == {"pending": 0, "in_progress": 0, "done": 11, "skipped": 0, "error": 1}
     again = e.resume(first.run_id)
     assert again.chunks_done == n and search.plan_size(c, 1) == (11, 12)
-    assert search.export_run(c, 1, str(tmp_path / "out"), "csv") == 22 and search.export_run(c, 1, str(tmp_path / "out2")) == 22
+    assert search.export_run(c, 1, str(tmp_path / "out"), "csv") == 24 and search.export_run(c, 1, str(tmp_path / "out2")) == 24
     changed = c.read("subtitle_files").select("file_id", F.when(F.col("rel_path").endswith("/3.xml"), "x").otherwise(F.col("sha256")).alias("sha256"))
     assert search.refresh(c, changed, dry_run=True).count() == 1
     search.refresh(c, changed)
