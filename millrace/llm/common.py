@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,57 @@ def crc_bucket_col(doc_id: Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % modulus).cast("int")
 
 
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A multiplier for each byte; A-Z have those of a-z, and white space has none.
+BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64)
+BYTES[65:91] = BYTES[97:123]
+BYTES[BLANK] = 0
+#: Texts are hashed in runs of about so many bytes, or one text where that is longer.
+RUN_BYTES = 1 << 20
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * M1
+    x = (x ^ (x >> np.uint64(29))) * M2
+    return x ^ (x >> np.uint64(32))
+
+
+def text_runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, in slices of about RUN_BYTES bytes; nulls become empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset + 1 : texts.offset + len(texts) + 1]
+    at, base = 0, int(ends[0]) - len(texts[0].as_py().encode())
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, base + RUN_BYTES, "right")))
+        yield texts.slice(at, stop - at)
+        at, base = stop, int(ends[stop - 1])
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a run of text_runs, A-Z taken as a-z, and the number of words of each text.
+
+    The hash of a word is the sum of its bytes' multipliers times multipliers of their places in it, mixed."""
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    size = int(off[-1] - off[0])
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    raw, off = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
+    blank = BLANK[raw]
+    before = np.r_[True, blank[:-1]]
+    before[off[:-1][off[:-1] < size]] = True
+    start = np.flatnonzero(before & ~blank)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    length = np.diff(np.append(start, size))
+    place = mixed(np.arange(1, int(length.max()) + 1, dtype=np.uint64) * M2) | np.uint64(1)
+    part = BYTES[raw[start[0] :]] * place[np.arange(start[0], size) - np.repeat(start, length)]
+    return mixed(np.add.reduceat(part, start - start[0])), np.diff(np.searchsorted(start, off))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star passes over a distributed edge list.
 

@@ -11,7 +11,8 @@ postings but asks for more shared shingles before a pair is verified; of two set
    of up to LIST classes give all their pairs; longer lists give pairs with their first class, and are kept as rows.
 3. Each class's best pair is verified exactly, on whole sets that a third pass fetches for the classes named in pairs.
    Links found so far are brought to components.
-4. All other pairs that fit, and all pairs of long lists, are verified if their components still differ.  No pair that
+4. All other pairs that fit, and all pairs of long lists that could share enough after the place where they meet, are
+   verified if their components still differ.  No pair that
    could join two components is left out, so the components are exact; pairs inside one component need no work.
 
 Cases: a null or blank text has an empty set and is linked with nothing; equal rows are separate documents of one class;
@@ -21,7 +22,6 @@ whatever their length; no columns but doc_id and text are read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, cut, table
+from millrace.llm.common import M2, components, cut, mixed, table, text_runs, word_hashes
 
 WIDTH, PERCENT = 5, 75
 SKETCH, SKETCH_PARTS = 1 << 20, 16
@@ -42,46 +42,30 @@ VERIFY = 16.0
 LIST = 48
 FLUSH = 3_000_000
 BLOOM_BITS = 1 << 25
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-CACHE = 400_000
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * M1
-    x = (x ^ (x >> np.uint64(29))) * M2
-    return x ^ (x >> np.uint64(32))
-
-
-class Shingler:
-    def __init__(self) -> None:
-        self.cache: dict[bytes, int] = {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The sorted different shingle hashes of a text."""
-        found = WORD.findall((text or "").encode().lower())  # bytes: only A-Z change
-        if not found:
-            return np.zeros(0, np.uint64)
-        if len(found) < WIDTH:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(found), 7)], np.uint64)
-        cache, digest = self.cache, xxhash.xxh64_intdigest
-        if len(cache) > CACHE:
-            cache.clear()
-        ids = list(map(cache.get, found))
-        if None in ids:
-            for i in [i for i, h in enumerate(ids) if h is None]:
-                w = found[i]
-                h = digest(w)
-                h -= h >> 63 << 64  # signed, which numpy takes faster
-                ids[i] = h
-                if len(w) <= 64:
-                    cache[w] = h
-        w = np.array(ids, np.int64).view(np.uint64)
-        n = len(w) - WIDTH + 1
-        h = w[:n].copy()
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted different shingle hashes of each text."""
+    for run in text_runs(texts):
+        w, n = word_hashes(run)
+        h = w
         for k in range(1, WIDTH):
-            h = mixed(h) + w[k : k + n]
-        return np.unique(mixed(h))
+            h = mixed(h[:-1]) + w[k:]
+        h = mixed(h)
+        at = 0
+        for k in n.tolist():
+            if k >= WIDTH:
+                s = np.sort(h[at : at + k - WIDTH + 1])
+                new = s[1:] != s[:-1]
+                yield s if new.all() else s[np.r_[True, new]]
+            elif k:
+                s = np.array([k], np.uint64)
+                for x in w[at : at + k]:
+                    s = mixed(s * M2 + x)
+                yield s
+            else:
+                yield np.zeros(0, np.uint64)
+            at += k
 
 
 def class_of(s: np.ndarray) -> bytes:
@@ -92,12 +76,11 @@ def first_pass(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, cls) of the documents, and rows (part, salt, payload) of the tasks' sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketch, seen = Shingler(), np.zeros(SKETCH, np.uint32), 0
+        sketch, seen = np.zeros(SKETCH, np.uint32), 0
         names = ["doc_id", "n", "cls", "part", "salt", "payload"]
         for b in batches:
             n, cls, held, size = [], [], [], 0
-            for t in b.column("text"):
-                s = shingler.of(t.as_py())
+            for s in shingle_sets(b.column("text")):
                 n.append(len(s))
                 cls.append(class_of(s))
                 held.append((s >> np.uint64(44)).astype(np.int32))
@@ -153,21 +136,25 @@ def prefix(s: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, shards: int) -> DataFrame:
-    """(shard, payload): owners (class, n, l, number of shingles) and their prefix shingles in that shard."""
+    """(shard, payload): owners (class, n, l, number of shingles) and their prefix shingles in that shard, each with
+    its place in the prefix in 256ths, rounded down."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(), set()
+        seen = set()
         own: list[tuple[bytes, int, int]] = []
         tokens: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(tokens)
-            owner = np.repeat(np.arange(len(own)), [len(t) for t in tokens])
+            sizes = np.array([len(t) for t in tokens])
+            owner = np.repeat(np.arange(len(own)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = (256 * place // sizes[owner]).astype(np.uint8)
             shard = (flat % np.uint64(shards)).astype(np.int64)
             order = np.lexsort((owner, shard))
-            flat, owner, shard = flat[order], owner[order], shard[order]
+            flat, owner, place, shard = flat[order], owner[order], place[order], shard[order]
             edge = np.searchsorted(shard, np.arange(shards + 1))
             cls = np.frombuffer(b"".join(c for c, _, _ in own), "V16")
             n, l = np.array([x for _, x, _ in own], np.uint32), np.array([x for _, _, x in own], np.uint8)
@@ -178,14 +165,13 @@ def postings(docs: DataFrame, sketch: np.ndarray, shards: int) -> DataFrame:
                     continue
                 who, cnt = np.unique(owner[a:b], return_counts=True)
                 ids.append(k)
-                raw.append(np.uint32(len(who)).tobytes() + cls[who].tobytes() + n[who].tobytes() + l[who].tobytes() + cnt.astype(np.uint32).tobytes() + flat[a:b].tobytes())
+                raw.append(np.uint32(len(who)).tobytes() + cls[who].tobytes() + n[who].tobytes() + l[who].tobytes() + cnt.astype(np.uint32).tobytes() + flat[a:b].tobytes() + place[a:b].tobytes())
             own.clear()
             tokens.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(raw, pa.binary())], ["shard", "payload"])
 
         for b in batches:
-            for t in b.column("text"):
-                s = shingler.of(t.as_py())
+            for s in shingle_sets(b.column("text")):
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
                     p, l = prefix(s, held.value)
@@ -208,29 +194,30 @@ def read_posting(raw: bytes) -> tuple[np.ndarray, ...]:
     l = np.frombuffer(raw, np.uint8, k, 4 + 20 * k)
     cnt = np.frombuffer(raw, np.uint32, k, 4 + 21 * k)
     flat = np.frombuffer(raw, np.uint64, int(cnt.sum()), 4 + 25 * k)
-    return cls, n, l, np.repeat(np.arange(k), cnt), flat
+    place = np.frombuffer(raw, np.uint8, len(flat), 4 + 25 * k + 8 * len(flat))
+    return cls, n, l, np.repeat(np.arange(k), cnt), flat, place
 
 
-PAIRS = "token long, a binary, b binary, na long, nb long, l int, shared int"
+PAIRS = "token long, a binary, b binary, na long, nb long, l int, shared int, place int"
 
 
 def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of classes that share shingles of the shard (shared: how many; 0 where a long list leaves it open), and
-    rows (token, a, na, l) of long lists."""
+    rows (token, a, na, l, place) of long lists."""
     got = [read_posting(x) for x in pdf["payload"]]
     base = np.cumsum([0, *(len(g[0]) for g in got)])
     cls = np.concatenate([g[0] for g in got])
     n, l = np.concatenate([g[1] for g in got]).astype(np.int64), np.concatenate([g[2] for g in got]).astype(np.int64)
     owner = np.concatenate([g[3] + b for g, b in zip(got, base, strict=False)])
-    flat = np.concatenate([g[4] for g in got])
+    flat, place = np.concatenate([g[4] for g in got]), np.concatenate([g[5] for g in got])
     uniq, back = np.unique(cls, return_inverse=True)  # a class from several tasks is one
     first = np.full(len(uniq), len(cls))
     np.minimum.at(first, back, np.arange(len(cls)))
     n, l, owner = n[first], l[first], back[owner]
     order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
+    flat, owner, place = flat[order], owner[order], place[order]
     keep = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
-    flat, owner = flat[keep], owner[keep]
+    flat, owner, place = flat[keep], owner[keep], place[keep]
     start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     size = np.diff(np.append(start, len(flat)))
     codes, open_ = [], []
@@ -251,15 +238,15 @@ def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         lead = own[np.argmax(weight[own])]
         rest = own[own != lead]
         open_.append(np.minimum(lead, rest) * k + np.maximum(lead, rest))
-        rows.append((flat[start[x]], own))
+        rows.append((flat[start[x]], own, place[start[x] : start[x] + size[x]]))
     code, shared = np.unique(np.concatenate(codes + open_), return_counts=True) if codes or open_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     a, b = code // k, code % k
     fits = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
     a, b, shared = a[fits], b[fits], shared[fits]
     shared = shared + np.where(in_long[a] | in_long[b], MOST_MATCHES, 0)  # long lists leave open how many more there are
     name = [x.tobytes() for x in uniq]
-    out = {"token": [None] * len(a), "a": [name[i] for i in a], "b": [name[i] for i in b], "na": n[a].tolist(), "nb": n[b].tolist(), "l": np.minimum(l[a], l[b]).tolist(), "shared": shared.tolist()}
-    for t, own in rows:
+    out = {"token": [None] * len(a), "a": [name[i] for i in a], "b": [name[i] for i in b], "na": n[a].tolist(), "nb": n[b].tolist(), "l": np.minimum(l[a], l[b]).tolist(), "shared": shared.tolist(), "place": [0] * len(a)}
+    for t, own, at in rows:
         out["token"] += [int(t.astype(np.int64))] * len(own)
         out["a"] += [name[i] for i in own]
         out["b"] += [None] * len(own)
@@ -267,6 +254,7 @@ def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         out["nb"] += [0] * len(own)
         out["l"] += l[own].tolist()
         out["shared"] += [0] * len(own)
+        out["place"] += at.tolist()
     frame = pd.DataFrame(out)
     frame["token"] = pd.array(out["token"], "Int64")
     return frame
@@ -300,11 +288,10 @@ def sets_of(docs: DataFrame, names: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bloom_of(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bits, seen = Shingler(), held.value, set()
+        bits, seen = held.value, set()
         for b in batches:
             cls, sets = [], []
-            for t in b.column("text"):
-                s = shingler.of(t.as_py())
+            for s in shingle_sets(b.column("text")):
                 c = class_of(s)
                 if len(s) and c not in seen:
                     at = spots(np.frombuffer(c, np.uint64).reshape(1, 2))
@@ -335,6 +322,27 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def pairs_across(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of long lists' rows (token, a, na, l, place, ra) that could link and lie in different components.
+
+    Shingles stand in one order in all sets, so where two sets first meet in a long list, each shares with the other no
+    more than what it has from that place on and the MOST_MATCHES - 1 shingles of short lists before.  That gives the
+    largest partner that a row may have.  Rows meet by bands of the smaller set's size: a row stands in its own band as
+    the smaller, and in all bands that its partners may have as the larger."""
+    band = lambda n: f"cast(floor(ln({n}) / ln(1.1D)) as int)"
+    rows = rows.withColumn("rest", F.expr(f"na + {MOST_MATCHES - 1} - (place * (na - ({PERCENT} * na + 99) div 100 + l)) div 256"))
+    rows = rows.withColumn("most", F.expr(f"({100 + PERCENT} * rest) div {PERCENT} - na")).withColumn("least", F.expr(f"({PERCENT} * na + 99) div 100"))
+    rows = cut(rows.where("most >= least"))
+    small = rows.where("most >= na").withColumn("band", F.expr(band("na")))
+    large = rows.withColumn("band", F.explode(F.expr(f"sequence({band('least')}, {band('least(most, na)')})")))
+    sides = small.select("token", "band", "ra", F.lit(1).alias("s")).union(large.select("token", "band", "ra", F.lit(0).alias("s")))
+    open_ = cut(sides.groupBy("token", "band").agg(F.min("ra").alias("x"), F.max("ra").alias("y"), F.max("s").alias("s")).where("x <> y and s = 1").select("token", "band"))
+    small = small.join(open_, ["token", "band"], "left_semi").select("token", "band", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"), F.col("most").alias("most_b"))
+    large = large.join(open_, ["token", "band"], "left_semi").select("token", "band", "a", "na", "ra", "most", "least")
+    met = large.join(small, ["token", "band"]).where("ra <> rb and (na > nb or na = nb and a < b) and nb between least and most and na <= most_b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def class_components(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFrame:
     """(node, root) over the classes that link with another class."""
     shards = 1 << max(4, int(n_docs // 8000).bit_length())
@@ -347,12 +355,7 @@ def class_components(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFr
     roots = components(links)
     root = lambda d, c, name: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     rest = root(root(pairs.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    # long lists: only those that still hold more than one component, and of those only pairs across
-    rows = root(found.where("token is not null").select("token", "a", "na"), "a", "ra")
-    mixed_ = rows.groupBy("token").agg(F.min("ra").alias("x"), F.max("ra").alias("y")).where("x <> y").select("token")
-    rows = cut(rows.join(mixed_, "token", "left_semi"))
-    other = rows.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"))
-    across = rows.join(other, "token").where(f"a < b and ra <> rb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
+    across = pairs_across(root(found.where("token is not null").select("token", "a", "na", "l", "place"), "a", "ra"))
     rest = cut(rest.union(across).distinct().join(best, ["a", "b"], "left_anti"))
     more = verified(rest, docs)
     return components(links.union(more))
