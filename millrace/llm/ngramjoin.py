@@ -9,7 +9,7 @@ postings but asks for more shared shingles before a pair is verified; of two set
 1. One pass over the texts counts shingles into the sketch and gives (doc_id, n, class).
 2. A second pass emits prefixes, packed by shingle shards; a shard's reducer finds the classes that share shingles.  Lists
    of up to LIST classes give all their pairs; longer lists give pairs with their first class, and are kept as rows.
-3. Each class's best pair is verified exactly, on whole sets that a third pass fetches for the classes named in pairs.
+3. Each class's best pair, and that with what leads it in a long list, is verified exactly, on whole sets that a third pass fetches for the classes named in pairs.
    Links found so far are brought to components.
 4. All other pairs that fit, and all pairs of long lists that could share enough after the place where they meet, are
    verified if their components still differ.  No pair that
@@ -202,7 +202,7 @@ PAIRS = "token long, a binary, b binary, na long, nb long, l int, shared int, pl
 
 
 def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of classes that share shingles of the shard (shared: how many; 0 where a long list leaves it open), and
+    """Pairs of classes that share shingles of the shard (shared: how many; 0 where a long list leaves it open; place: 1 where one leads the other), and
     rows (token, a, na, l, place) of long lists."""
     got = [read_posting(x) for x in pdf["payload"]]
     base = np.cumsum([0, *(len(g[0]) for g in got)])
@@ -228,24 +228,29 @@ def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
             i, j = np.triu_indices(m, 1)
             a, b = owner[s[:, None] + i].ravel(), owner[s[:, None] + j].ravel()
             codes.append(a * k + b)
-    # of a long list the class that lies in most long lists of the shard leads: what its copies were made from, if any
+    # of a long list the class that stands earliest, over the long lists of the shard, leads: one with few rare shingles of
+    # its own, such as what its near copies were made from, if that is there
     long_ = np.flatnonzero(size > LIST)
     rows = []
-    lists = [owner[start[x] : start[x] + size[x]] for x in long_]
-    weight = np.bincount(np.concatenate(lists), minlength=k) if lists else np.zeros(k, np.int64)
+    spans = [slice(start[x], start[x] + size[x]) for x in long_]
+    weight = np.zeros(k)
+    if spans:
+        weight = np.bincount(np.concatenate([owner[x] for x in spans]), np.concatenate([256.0 - place[x] for x in spans]), k)
     in_long = weight > 0
-    for x, own in zip(long_, lists, strict=True):
+    for x in spans:
+        own = owner[x]
         lead = own[np.argmax(weight[own])]
         rest = own[own != lead]
         open_.append(np.minimum(lead, rest) * k + np.maximum(lead, rest))
-        rows.append((flat[start[x]], own, place[start[x] : start[x] + size[x]]))
+        rows.append((flat[x.start], own, place[x]))
     code, shared = np.unique(np.concatenate(codes + open_), return_counts=True) if codes or open_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    led = np.isin(code, np.concatenate(open_)) if open_ else np.zeros(len(code), bool)
     a, b = code // k, code % k
     fits = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
-    a, b, shared = a[fits], b[fits], shared[fits]
+    a, b, shared, led = a[fits], b[fits], shared[fits], led[fits]
     shared = shared + np.where(in_long[a] | in_long[b], MOST_MATCHES, 0)  # long lists leave open how many more there are
     name = [x.tobytes() for x in uniq]
-    out = {"token": [None] * len(a), "a": [name[i] for i in a], "b": [name[i] for i in b], "na": n[a].tolist(), "nb": n[b].tolist(), "l": np.minimum(l[a], l[b]).tolist(), "shared": shared.tolist(), "place": [0] * len(a)}
+    out = {"token": [None] * len(a), "a": [name[i] for i in a], "b": [name[i] for i in b], "na": n[a].tolist(), "nb": n[b].tolist(), "l": np.minimum(l[a], l[b]).tolist(), "shared": shared.tolist(), "place": led.astype(int).tolist()}
     for t, own, at in rows:
         out["token"] += [int(t.astype(np.int64))] * len(own)
         out["a"] += [name[i] for i in own]
@@ -347,10 +352,11 @@ def class_components(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFr
     """(node, root) over the classes that link with another class."""
     shards = 1 << max(4, int(n_docs // 8000).bit_length())
     found = cut(postings(docs, sketch, shards).groupBy("shard").applyInPandas(reduce_shard, PAIRS))
-    pairs = found.where("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l")).where("shared >= l")
-    pairs = cut(pairs.select("a", "b", "shared"))
+    pairs = found.where("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l"), F.max("place").alias("led")).where("shared >= l")
+    pairs = cut(pairs.select("a", "b", "shared", "led"))
     either = pairs.select("a", F.col("b").alias("o"), "shared").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("o"), "shared"))
-    best = either.groupBy("a").agg(F.max(F.struct("shared", "o")).alias("m")).select(F.least("a", "m.o").alias("a"), F.greatest("a", "m.o").alias("b")).distinct()
+    best = either.groupBy("a").agg(F.max(F.struct("shared", "o")).alias("m")).select(F.least("a", "m.o").alias("a"), F.greatest("a", "m.o").alias("b"))
+    best = best.union(pairs.where("led = 1").select("a", "b")).distinct()
     links = cut(verified(cut(best), docs))
     roots = components(links)
     root = lambda d, c, name: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
