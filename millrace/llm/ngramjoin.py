@@ -23,7 +23,7 @@ whatever their length; no columns but doc_id and text are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,7 @@ MOST_MATCHES = 4
 #: Cost of verifying a pair, in postings.
 VERIFY = 16.0
 LIST = 48
+PARITY = 512
 FLUSH = 3_000_000
 BLOOM_BITS = 1 << 25
 
@@ -288,8 +289,8 @@ def spots(cls: np.ndarray) -> np.ndarray:
     return np.concatenate([((a + np.uint64(i) * b) % np.uint64(BLOOM_BITS)).astype(np.int64) for i in range(4)])
 
 
-def sets_of(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(cls, s): the whole sets of the named classes."""
+def sets_of(docs: DataFrame, names: DataFrame, form: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
+    """(cls, s): the whole sets of the named classes, or what form makes of each."""
     held = docs.sparkSession.sparkContext.broadcast(bloom_of(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +304,29 @@ def sets_of(docs: DataFrame, names: DataFrame) -> DataFrame:
                     if ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all():
                         seen.add(c)
                         cls.append(c)
-                        sets.append(s.tobytes())
+                        sets.append(form(s))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "s"])
 
     return docs.select("text").mapInArrow(run, "cls binary, s binary").groupBy("cls").agg(F.min("s").alias("s"))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each of PARITY parts of the shingles: whether a set has an odd number there.  Two sets differ in as many
+    shingles at least as in bits."""
+    return np.packbits(np.bincount((s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def parities(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(cls, bits): the parities of the named classes as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [np.frombuffer(x, np.int64).tolist() for x in b.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(bits, pa.list_(pa.int64()))], ["cls", "bits"])
+
+    return sets_of(docs, names, parity).mapInArrow(run, "cls binary, bits array<long>")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     names = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -327,13 +345,14 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def pairs_across(rows: DataFrame) -> DataFrame:
+def pairs_across(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): pairs of long lists' rows (token, a, na, l, place, ra) that could link and lie in different components.
 
     Shingles stand in one order in all sets, so where two sets first meet in a long list, each shares with the other no
     more than what it has from that place on and the MOST_MATCHES - 1 shingles of short lists before.  That gives the
     largest partner that a row may have.  Rows meet by bands of the smaller set's size: a row stands in its own band as
-    the smaller, and in all bands that its partners may have as the larger."""
+    the smaller, and in all bands that its partners may have as the larger.  Pairs whose parities differ more than the
+    sets may are left out."""
     band = lambda n: f"cast(floor(ln({n}) / ln(1.1D)) as int)"
     rows = rows.withColumn("rest", F.expr(f"na + {MOST_MATCHES - 1} - (place * (na - ({PERCENT} * na + 99) div 100 + l)) div 256"))
     rows = rows.withColumn("most", F.expr(f"({100 + PERCENT} * rest) div {PERCENT} - na")).withColumn("least", F.expr(f"({PERCENT} * na + 99) div 100"))
@@ -342,9 +361,14 @@ def pairs_across(rows: DataFrame) -> DataFrame:
     large = rows.withColumn("band", F.explode(F.expr(f"sequence({band('least')}, {band('least(most, na)')})")))
     sides = small.select("token", "band", "ra", F.lit(1).alias("s")).union(large.select("token", "band", "ra", F.lit(0).alias("s")))
     open_ = cut(sides.groupBy("token", "band").agg(F.min("ra").alias("x"), F.max("ra").alias("y"), F.max("s").alias("s")).where("x <> y and s = 1").select("token", "band"))
-    small = small.join(open_, ["token", "band"], "left_semi").select("token", "band", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"), F.col("most").alias("most_b"))
-    large = large.join(open_, ["token", "band"], "left_semi").select("token", "band", "a", "na", "ra", "most", "least")
-    met = large.join(small, ["token", "band"]).where("ra <> rb and (na > nb or na = nb and a < b) and nb between least and most and na <= most_b")
+    small, large = cut(small.join(open_, ["token", "band"], "left_semi")), cut(large.join(open_, ["token", "band"], "left_semi"))
+    bits = cut(parities(docs, small.select(F.col("a").alias("cls")).union(large.select(F.col("a").alias("cls"))).distinct()))
+    flat = lambda c: [F.col("bits")[i].alias(f"{c}{i}") for i in range(PARITY // 64)]
+    small = small.join(bits, small["a"] == bits["cls"]).select("token", "band", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"), F.col("most").alias("most_b"), *flat("q"))
+    large = large.join(bits, large["a"] == bits["cls"]).select("token", "band", "a", "na", "ra", "most", "least", *flat("p"))
+    differ = " + ".join(f"bit_count(p{i} ^ q{i})" for i in range(PARITY // 64))
+    fits = f"nb between least and most and na <= most_b and {differ} <= na + nb - 2 * (({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT})"
+    met = large.join(small, ["token", "band"]).where(f"ra <> rb and (na > nb or na = nb and a < b) and {fits}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -361,7 +385,7 @@ def class_components(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFr
     roots = components(links)
     root = lambda d, c, name: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     rest = root(root(pairs.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    across = pairs_across(root(found.where("token is not null").select("token", "a", "na", "l", "place"), "a", "ra"))
+    across = pairs_across(root(found.where("token is not null").select("token", "a", "na", "l", "place"), "a", "ra"), docs)
     rest = cut(rest.union(across).distinct().join(best, ["a", "b"], "left_anti"))
     more = verified(rest, docs)
     return components(links.union(more))
