@@ -20,7 +20,6 @@ text is read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,53 +29,38 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_bucket, cut, table
+from millrace.llm.common import M1, M2, crc_bucket, cut, mixed, table, text_runs, word_hashes
 
 MODULUS, HELD = 7, 2
 MIN_PAIRS = 2
 FILTER_BYTES, BITS_PER_ITEM, PROBES = 64 << 20, 12, 4
 MAX_BROADCAST = 8_000_000
 SMOOTH, MOST = 20.0, 0.75
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end")), np.uint64(xxhash.xxh64_intdigest(b" start"))
-CACHE, FLUSH = 400_000, 4_000_000
-MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+FLUSH = 4_000_000
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * MIX1
-    return (x ^ (x >> np.uint64(29))) * MIX2 ^ (x >> np.uint64(32))
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(v * M2 + mixed(w))
 
 
-def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(v * MIX2 + mixed(w))
-
-
-class Tokens:
-    """Token hashes of texts; the hashes of words are remembered."""
-
-    def __init__(self) -> None:
-        self.cache: dict[bytes, int] = {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        found = WORD.findall((text or "").encode().lower())  # bytes: only A-Z change
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        out = np.empty(len(found) + 1, np.uint64)
-        digest = xxhash.xxh64_intdigest
-        ids = list(map(cache.get, found))
-        if None in ids:
-            for i in [i for i, h in enumerate(ids) if h is None]:
-                w = found[i]
-                h = digest(w)
-                h -= h >> 63 << 64  # signed, which numpy takes faster
-                ids[i] = h
-                if len(w) <= 64:
-                    cache[w] = h
-        out[:-1] = np.array(ids, np.int64).view(np.uint64)
-        out[-1] = END
-        return out
+def token_runs(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token hashes of runs of texts, and where each text of the run begins; the last edge is the end."""
+    for run in text_runs(texts):
+        w, n = word_hashes(run)
+        edge = np.r_[0, np.cumsum(n + 1)]
+        ids = np.full(edge[-1], END)
+        inner = np.ones(len(ids), bool)
+        inner[edge[1:] - 1] = False
+        ids[inner] = w
+        yield ids, edge
+
+
+def shifted(x: np.ndarray, edge: np.ndarray, first: object) -> np.ndarray:
+    """What stands before each entry of x in its text; first at a text's begin."""
+    out = np.roll(x, 1)
+    out[edge[:-1]] = first
+    return out
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -103,7 +87,6 @@ def gather_counts(train: DataFrame, shards: int) -> DataFrame:
     """(kind, shard, payload): kind 1 tokens, 2 pairs; each payload is one task's summed counts of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         held: dict[int, list[np.ndarray]] = {1: [], 2: []}
         size = 0
 
@@ -122,10 +105,9 @@ def gather_counts(train: DataFrame, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int32()), pa.array(raw, pa.binary())], ["kind", "shard", "payload"])
 
         for b in batches:
-            for t in b.column("text"):
-                ids = tokens.of(t.as_py())
+            for ids, edge in token_runs(b.column("text")):
                 held[1].append(ids)
-                held[2].append(pair_keys(np.concatenate([[START], ids[:-1]]), ids))
+                held[2].append(pair_keys(shifted(ids, edge, START), ids))
                 size += len(ids)
                 if size >= FLUSH:
                     yield from flush()
@@ -142,8 +124,8 @@ def quantised(counts: np.ndarray) -> np.ndarray:
 
 def positions(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
     """Bits of an item within its region: double hashing."""
-    a = mixed(keys + np.uint64((level * int(MIX1)) % (1 << 64)))
-    b = mixed(a ^ MIX2) | np.uint64(1)
+    a = mixed(keys + np.uint64((level * int(M1)) % (1 << 64)))
+    b = mixed(a ^ M2) | np.uint64(1)
     return [((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64) for i in range(PROBES)]
 
 
@@ -236,14 +218,17 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int
     return Model(int(total), int(distinct), starts, shards, whole, keys, counts, tokens.select("payload").mapInArrow(rows, "token long, count long"))
 
 
-def text_scores(ids: np.ndarray, c: np.ndarray, m: dict, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities of each token, by the base model and by the whole one; c: exact counts of the tokens."""
+def run_scores(ids: np.ndarray, edge: np.ndarray, c: np.ndarray, m: dict, filter_: np.ndarray) -> list[np.ndarray]:
+    """Per text of a run: tokens, known tokens, and log10 probabilities by the base model and by the whole one; c: exact
+    counts of the tokens."""
     p = (c + 1) / (m["total"] + m["distinct"] + 1)
-    before = np.concatenate([[m["starts"]], c[:-1]]).astype(np.float64)
-    q = probe(filter_, m["shards"], pair_keys(np.concatenate([[START], ids[:-1]]), ids))
+    before = shifted(c.astype(np.float64), edge, m["starts"])
+    keys, back = np.unique(pair_keys(shifted(ids, edge, START), ids), return_inverse=True)
+    q = probe(filter_, m["shards"], keys)[back]
     own = np.where(q > 0, np.minimum(0.75 * np.exp2(q), before), 0.0)
     lam = MOST * before / (before + SMOOTH)
-    return np.log10(p), np.log10(lam * np.divide(own, before, out=np.zeros_like(own), where=before > 0) + (1 - lam) * p)
+    whole = np.log10(lam * np.divide(own, before, out=np.zeros_like(own), where=before > 0) + (1 - lam) * p)
+    return [np.diff(edge), *(np.add.reduceat(x, edge[:-1]) for x in ((c > 0).astype(np.int64), np.log10(p), whole))]
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -257,26 +242,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     own = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
 
     def emit(ids: list, got: list) -> pa.RecordBatch:
-        cols = list(zip(*got, strict=True)) if got else [()] * 4
+        cols = [np.concatenate(x) for x in zip(*got, strict=True)] if got else [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([crc_bucket(i, MODULUS) == HELD for i in ids], pa.bool_()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    def figures(ids: np.ndarray, c: np.ndarray) -> tuple:
-        base, all_ = text_scores(ids, c, m, filter_.value)
-        return len(ids), int((c > 0).sum()), float(base.sum()), float(all_.sum())
-
     if model.keys is not None:
         counts = spark.sparkContext.broadcast((model.keys, model.counts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens = Tokens()
             for b in batches:
                 keys, n = counts.value
                 got = []
-                for t in b.column("text"):
-                    ids = tokens.of(t.as_py())
-                    at = np.minimum(np.searchsorted(keys, ids), max(len(keys) - 1, 0))
-                    got.append(figures(ids, np.where(keys[at] == ids, n[at], 0) if len(keys) else np.zeros(len(ids), np.int64)))
+                for ids, edge in token_runs(b.column("text")):
+                    own_ids, back = np.unique(ids, return_inverse=True)
+                    at = np.minimum(np.searchsorted(keys, own_ids), max(len(keys) - 1, 0))
+                    c = np.where(keys[at] == own_ids, n[at], 0) if len(keys) else np.zeros(len(own_ids), np.int64)
+                    got.append(run_scores(ids, edge, c[back], m, filter_.value))
                 yield emit(b.column("doc_id").to_pylist(), got)
 
         out = own.mapInArrow(run, OUT)
@@ -286,23 +267,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         named = cut(named.select("row", "doc_id", "text"))
 
         def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens = Tokens()
             for b in batches:
-                for r, t in zip(b.column("row").to_pylist(), b.column("text"), strict=True):
-                    ids = np.unique(tokens.of(t.as_py()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r)), pa.array(ids.view(np.int64))], ["row", "token"])
+                rows = iter(b.column("row").to_pylist())
+                for ids, edge in token_runs(b.column("text")):
+                    for i, k in zip(edge[:-1], edge[1:], strict=True):
+                        own_ids = np.unique(ids[i:k])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own_ids), next(rows))), pa.array(own_ids.view(np.int64))], ["row", "token"])
 
         met = named.select("row", "text").mapInArrow(tokens_of, "row long, token long").join(model.table, "token")
         found = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("token", "count"))).alias("found"))  # one document's own
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens = Tokens()
             for b in batches:
-                got = []
-                for t, f in zip(b.column("text"), b.column("found").to_pylist(), strict=True):
-                    known = {x["token"]: x["count"] for x in f or ()}
-                    ids = tokens.of(t.as_py())
-                    got.append(figures(ids, np.array([known.get(i, 0) for i in ids.view(np.int64).tolist()], np.int64)))
+                got, found_ = [], iter(b.column("found"))
+                for ids, edge in token_runs(b.column("text")):
+                    c = np.zeros(len(ids), np.int64)
+                    for i, k in zip(edge[:-1], edge[1:], strict=True):
+                        known = {x["token"]: x["count"] for x in next(found_).as_py() or ()}
+                        c[i:k] = [known.get(x, 0) for x in ids[i:k].view(np.int64).tolist()]
+                    got.append(run_scores(ids, edge, c, m, filter_.value))
                 yield emit(b.column("doc_id").to_pylist(), got)
 
         out = named.join(found, "row", "left").select("doc_id", "text", "found").mapInArrow(run_joined, OUT)
