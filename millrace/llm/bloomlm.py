@@ -4,8 +4,9 @@ Tokens are the words of a text, A-Z lower-cased, and one end token.  Unigram cou
 MIN_PAIRS times or more are held in a Bloom filter as quantised counts: a pair of count c is entered as the items
 (pair, 1) ... (pair, q), q = 1 + floor(log2 c), so that probing (pair, 1), (pair, 2), ... until one is absent gives q,
 never less than the true one.  The filter is a row of regions, one for each shard of pairs; the reducer that counts a
-shard also fills its region, so counts never meet on the driver, and what is broadcast is FILTER_BYTES at most (a bound
-that does not follow the corpus; a fuller filter errs more often, nothing is left out of it).
+shard also fills its region, so counts never meet on the driver.  The filter has BITS_PER_ITEM bits for each item at any
+corpus size.  One of up to FILTER_BYTES is broadcast; the regions of a larger one stay distributed, and the pairs of blocks
+of documents go to their regions by a shuffle on shard and come back as levels.  Both ways give the same.
 
 Probability of w after v: lam * c(v, w) / c(v) + (1 - lam) * p(w), with lam = c(v) / (c(v) + SMOOTH) * MOST, c(v, w) the
 middle of its quantised class but c(v) at most, and p(w) = (c(w) + 1) / (N + V + 1).
@@ -20,11 +21,12 @@ text is read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ MAX_BROADCAST = 8_000_000
 SMOOTH, MOST = 20.0, 0.75
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end")), np.uint64(xxhash.xxh64_intdigest(b" start"))
 FLUSH = 4_000_000
+#: Documents whose pairs are looked up together in distributed regions have about so many bytes, or are one document.
+BLOCK_BYTES = 16 << 20
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -157,15 +161,16 @@ def probe(filter_: np.ndarray, shards: int, keys: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The learned model as the driver holds it: sizes of fixed bound, but for the token counts, whose size is checked."""
+    """The learned model as the driver holds it: the filter and the token counts only where their sizes are within bounds;
+    regions (shard, bits) and table (token, count) are distributed."""
 
-    def __init__(self, total: int, distinct: int, starts: int, shards: int, filter_: np.ndarray, keys: np.ndarray | None, counts: np.ndarray | None, table_: DataFrame) -> None:
+    def __init__(self, total: int, distinct: int, starts: int, shards: int, filter_: np.ndarray | None, regions: DataFrame, keys: np.ndarray | None, counts: np.ndarray | None, table_: DataFrame) -> None:
         self.total, self.distinct, self.starts, self.shards = total, distinct, starts, shards
-        self.filter, self.keys, self.counts, self.table = filter_, keys, counts, table_
+        self.filter, self.regions, self.keys, self.counts, self.table = filter_, regions, keys, counts, table_
 
 
 def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int = FILTER_BYTES) -> Model:
-    """Counts over all training documents, and the filter."""
+    """Counts over all training documents, and the filter; filter_bytes: the largest that is broadcast."""
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % MODULUS
     train = docs.where(part != HELD)
     starts = train.count()
@@ -188,17 +193,19 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int
     tokens, pairs = counted.where("kind = 1"), counted.where("kind = 2")
     total, distinct = tokens.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     items = pairs.agg(F.coalesce(F.sum("items"), F.lit(0))).first()[0]
-    want = max(8, min(filter_bytes, items * BITS_PER_ITEM // 8) // shards)
-    region = 8 * int(want)
+    region = 8 * int(max(8, items * BITS_PER_ITEM // 8 // shards))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [fill(region, *unpack(x)).tobytes() for x in b.column("payload").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(out, pa.binary())], ["shard", "bits"])
 
-    whole = np.zeros(shards * region // 8, np.uint8)
-    for shard, raw in pairs.select("shard", "payload").mapInArrow(regions, "shard int, bits binary").toLocalIterator():
-        whole[shard * region // 8 : (shard + 1) * region // 8] = np.frombuffer(raw, np.uint8)
+    filled = pairs.select("shard", "payload").mapInArrow(regions, "shard int, bits binary")
+    whole = None
+    if shards * region // 8 <= max(filter_bytes, 8 * shards):
+        whole = np.zeros(shards * region // 8, np.uint8)
+        for shard, raw in filled.toLocalIterator():
+            whole[shard * region // 8 : (shard + 1) * region // 8] = np.frombuffer(raw, np.uint8)
     keys = counts = None
     if distinct <= max_broadcast:
         ks, cs = [], []
@@ -215,22 +222,70 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int
                 n = len(raw) // 16
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8", n)), pa.array(np.frombuffer(raw, "<i8", n, 8 * n))], ["token", "count"])
 
-    return Model(int(total), int(distinct), starts, shards, whole, keys, counts, tokens.select("payload").mapInArrow(rows, "token long, count long"))
+    return Model(int(total), int(distinct), starts, shards, whole, filled, keys, counts, tokens.select("payload").mapInArrow(rows, "token long, count long"))
 
 
-def run_scores(ids: np.ndarray, edge: np.ndarray, c: np.ndarray, m: dict, filter_: np.ndarray) -> list[np.ndarray]:
+def run_scores(ids: np.ndarray, edge: np.ndarray, c: np.ndarray, m: dict, levels: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
     """Per text of a run: tokens, known tokens, and log10 probabilities by the base model and by the whole one; c: exact
-    counts of the tokens."""
+    counts of the tokens, levels: the quantised counts of sorted different pairs."""
     p = (c + 1) / (m["total"] + m["distinct"] + 1)
     before = shifted(c.astype(np.float64), edge, m["starts"])
     keys, back = np.unique(pair_keys(shifted(ids, edge, START), ids), return_inverse=True)
-    q = probe(filter_, m["shards"], keys)[back]
+    q = levels(keys)[back]
     own = np.where(q > 0, np.minimum(0.75 * np.exp2(q), before), 0.0)
     lam = MOST * before / (before + SMOOTH)
     whole = np.log10(lam * np.divide(own, before, out=np.zeros_like(own), where=before > 0) + (1 - lam) * p)
     return [np.diff(edge), *(np.add.reduceat(x, edge[:-1]) for x in ((c > 0).astype(np.int64), np.log10(p), whole))]
 
 
+def block_pairs(texts: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of a block's texts by shard and key, and where each shard begins; the last edge is the end."""
+    parts = [np.unique(pair_keys(shifted(ids, edge, START), ids)) for ids, edge in token_runs(texts)]
+    keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    at = shard_of(keys, shards)
+    order = np.argsort(at, kind="stable")
+    return keys[order], np.searchsorted(at[order], np.arange(shards + 1))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """The rows with the block that each belongs to, materialised; a block lies in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for b in batches:
+            n = pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = done + np.cumsum(n) - n
+            done += int(n.sum())
+            block = (b.column("block").to_numpy(zero_copy_only=False).astype(np.int64) << 32) + before // BLOCK_BYTES
+            yield b.set_column(b.schema.get_field_index("block"), "block", pa.array(block, pa.int64()))
+
+    rows = rows.withColumn("block", F.spark_partition_id().cast("long"))
+    return cut(rows.mapInArrow(run, rows.schema))
+
+
+def looked_up(blocks: DataFrame, model: Model) -> DataFrame:
+    """(block, shard, q): levels of the block's pairs in the shard, in the order of block_pairs, a byte each."""
+    shards = model.shards
+
+    def ask(key: tuple, t: pa.Table) -> pa.Table:
+        keys, edge = block_pairs(t.column("text").combine_chunks(), shards)
+        use = [s for s in range(shards) if edge[s] < edge[s + 1]]
+        raw = [keys[edge[s] : edge[s + 1]].astype("<u8").tobytes() for s in use]
+        return pa.table([pa.array([key[0].as_py()] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(raw, pa.binary())], ["block", "shard", "keys"])
+
+    def answer(asked: pa.Table, region: pa.Table) -> pa.Table:
+        raw = asked.column("keys").to_pylist()
+        keys = np.frombuffer(b"".join(raw), "<u8")
+        bits = region.column("bits").to_pylist()
+        q = (probe(np.frombuffer(bits[0], np.uint8), 1, keys) if bits else np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes()
+        edge = np.cumsum([0, *(len(x) // 8 for x in raw)])
+        out = [q[i:k] for i, k in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "q"])
+
+    asked = blocks.select("block", "text").groupBy("block").applyInArrow(ask, "block long, shard int, keys binary")
+    return asked.groupBy("shard").cogroup(model.regions.groupBy("shard")).applyInArrow(answer, "block long, shard int, q binary")
+
+
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -238,7 +293,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     m = {"total": model.total, "distinct": model.distinct, "starts": model.starts, "shards": model.shards}
-    filter_ = spark.sparkContext.broadcast(model.filter)
     own = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
 
     def emit(ids: list, got: list) -> pa.RecordBatch:
@@ -248,19 +302,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     if model.keys is not None:
         counts = spark.sparkContext.broadcast((model.keys, model.counts))
+        rows = own
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys, n = counts.value
-                got = []
-                for ids, edge in token_runs(b.column("text")):
-                    own_ids, back = np.unique(ids, return_inverse=True)
-                    at = np.minimum(np.searchsorted(keys, own_ids), max(len(keys) - 1, 0))
-                    c = np.where(keys[at] == own_ids, n[at], 0) if len(keys) else np.zeros(len(own_ids), np.int64)
-                    got.append(run_scores(ids, edge, c[back], m, filter_.value))
-                yield emit(b.column("doc_id").to_pylist(), got)
+        def counted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            keys, n = counts.value
+            for ids, edge in token_runs(b.column("text")):
+                own_ids, back = np.unique(ids, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, own_ids), max(len(keys) - 1, 0))
+                c = np.where(keys[at] == own_ids, n[at], 0) if len(keys) else np.zeros(len(own_ids), np.int64)
+                yield ids, edge, c[back]
 
-        out = own.mapInArrow(run, OUT)
     else:
         # each document's different tokens meet their counts in a join, and come back beside the text's row
         named = own.withColumn("row", F.monotonically_increasing_id())
@@ -276,19 +327,41 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         met = named.select("row", "text").mapInArrow(tokens_of, "row long, token long").join(model.table, "token")
         found = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("token", "count"))).alias("found"))  # one document's own
+        rows = named.join(found, "row", "left").select("doc_id", "text", "found")
+
+        def counted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            found_ = iter(b.column("found"))
+            for ids, edge in token_runs(b.column("text")):
+                c = np.zeros(len(ids), np.int64)
+                for i, k in zip(edge[:-1], edge[1:], strict=True):
+                    known = {x["token"]: x["count"] for x in next(found_).as_py() or ()}
+                    c[i:k] = [known.get(x, 0) for x in ids[i:k].view(np.int64).tolist()]
+                yield ids, edge, c
+
+    if model.filter is not None:
+        filter_ = spark.sparkContext.broadcast(model.filter)
 
-        def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got, found_ = [], iter(b.column("found"))
-                for ids, edge in token_runs(b.column("text")):
-                    c = np.zeros(len(ids), np.int64)
-                    for i, k in zip(edge[:-1], edge[1:], strict=True):
-                        known = {x["token"]: x["count"] for x in next(found_).as_py() or ()}
-                        c[i:k] = [known.get(x, 0) for x in ids[i:k].view(np.int64).tolist()]
-                    got.append(run_scores(ids, edge, c, m, filter_.value))
-                yield emit(b.column("doc_id").to_pylist(), got)
+                levels = lambda keys: probe(filter_.value, m["shards"], keys)
+                yield emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)])
 
-        out = named.join(found, "row", "left").select("doc_id", "text", "found").mapInArrow(run_joined, OUT)
+        out = rows.mapInArrow(run, OUT)
+    else:
+        blocks = in_blocks(rows)
+
+        def run_block(t: pa.Table, answers: pa.Table) -> pa.Table:
+            keys, edge = block_pairs(t.column("text").combine_chunks(), m["shards"])
+            q = np.zeros(len(keys), np.uint8)
+            for s, raw in zip(answers.column("shard").to_pylist(), answers.column("q").to_pylist(), strict=True):
+                q[edge[s] : edge[s + 1]] = np.frombuffer(raw, np.uint8)
+            order = np.argsort(keys)
+            keys, q = keys[order], q[order].astype(np.int64)
+            levels = lambda own_keys: q[np.searchsorted(keys, own_keys)]
+            batches = t.combine_chunks().to_batches()
+            return pa.Table.from_batches([emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)]) for b in batches])
+
+        out = blocks.groupBy("block").cogroup(looked_up(blocks, model).groupBy("block")).applyInArrow(run_block, OUT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -179,6 +179,17 @@ def test_lm(docs):
     assert (q >= bloomlm.quantised(counts[mine])).all() and (q == bloomlm.quantised(counts[mine])).mean() > 0.9
 
 
+def test_lm_filter_beyond_broadcast(docs, empty, monkeypatch):
+    """A filter too large to broadcast gives the scores of a broadcast one, with any block size and either way of counting."""
+    want = sorted((str(x.doc_id), x.n_tokens, x.n_known, x.base_score, x.score) for x in bloomlm.score(docs, bloomlm.learn(docs)).collect())
+    for max_broadcast, size in ((bloomlm.MAX_BROADCAST, 1 << 20), (1, 2000)):
+        monkeypatch.setattr(bloomlm, "BLOCK_BYTES", size)
+        m = bloomlm.learn(docs, max_broadcast, filter_bytes=1)
+        got = sorted((str(x.doc_id), x.n_tokens, x.n_known, x.base_score, x.score) for x in bloomlm.score(docs, m).collect())
+        assert m.filter is None and len(got) == len(want) and all(g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-12) for g, w in zip(got, want, strict=True))
+    assert bloomlm.score(empty, bloomlm.learn(empty, filter_bytes=1)).count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 64))
