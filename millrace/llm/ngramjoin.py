@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import M2, components, cut, mixed, table, text_runs, word_hashes
@@ -74,11 +74,12 @@ def class_of(s: np.ndarray) -> bytes:
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls) of the documents, and rows (part, salt, payload) of the tasks' sketches."""
+    """Rows (doc_id, n, cls, and key where docs has it) of the documents, and rows (part, salt, payload) of the tasks' sketches."""
+    extra = ["key"] if "key" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(SKETCH, np.uint32), 0
-        names = ["doc_id", "n", "cls", "part", "salt", "payload"]
+        names = ["doc_id", "n", "cls", "part", "salt", "payload", *extra]
         for b in batches:
             n, cls, held, size = [], [], [], 0
             for s in shingle_sets(b.column("text")):
@@ -93,14 +94,14 @@ def first_pass(docs: DataFrame) -> DataFrame:
                 sketch += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
             seen += sum(n)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *(b.column(x) for x in extra)], names)
         if seen:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SKETCH_PARTS)]
             salt = int(sketch[:64].sum()) % 256
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(k, pa.string()) for _ in extra)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls binary, part int, salt int, payload binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cls binary, part int, salt int, payload binary" + "".join(f", {x} string" for x in extra))
 
 
 def sketch_of(rows: DataFrame) -> np.ndarray:
@@ -391,23 +392,34 @@ def class_components(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFr
     return components(links.union(more))
 
 
+def classed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, comp): a row per document of (doc_id, text, and key where there is one); comp is null for an empty set."""
+    first = cut(first_pass(docs))
+    rows = first.where("part is null").drop("part", "salt", "payload")
+    roots = class_components(docs.select("text"), sketch_of(first), rows.count())
+    return rows.join(roots, rows["cls"] == roots["node"], "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("root", "cls"))).drop("cls", "node", "root")
+
+
 def members(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document."""
-    own = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    first = cut(first_pass(own))
-    rows = first.where("part is null").select("doc_id", "n", "cls")
-    roots = class_components(own.select("text"), sketch_of(first), rows.count())
-    named = rows.join(roots, rows["cls"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("comp"))
+    named = classed(docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")).withColumnRenamed("n", "n_shingles")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
     return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, that which names it, with its own columns; repeated rows of its id keep one."""
-    stay = members(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*docs.columns)
+    """One document of each component, of the least id (nulls last), with its own columns.  Rows are told apart by id and
+    text, so equal or null ids in different components all stay, and so do all rows of empty sets, linked with nothing."""
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    named = cut(classed(own))
+    least = named.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m"))
+    alone = named.where("comp is null").select("key", F.lit(True).alias("_alone")).distinct()
+    stay = alone.union(least.select("m.key", F.lit(False))).withColumnRenamed("key", "_key")
+    # rows that repeat id and text are one document's copies, and one of them stays
+    kept = docs.withColumn("_key", key).join(stay, "_key").withColumn("_row", F.when(F.col("_alone"), F.monotonically_increasing_id()))
+    one = kept.groupBy("_key", "_row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_one"))
+    return one.select("_one.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

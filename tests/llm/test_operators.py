@@ -157,6 +157,16 @@ def test_ngram_join(docs, empty):
     assert ngramjoin.members(empty).count() == 0 and ngramjoin.one_of_each(docs).count() == len(set(comp.values()))
 
 
+def test_one_of_each_by_rows(spark):
+    """Null and repeated ids of different texts are different documents; only near or exact copies go."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("d")), (3, text("d")), (8, text("e") + " more"), (None, text("e")), (None, ""), (None, None), (7, " ")]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    got = ngramjoin.one_of_each(d)
+    assert got.columns == d.columns
+    assert sorted(map(str, (tuple(x)[:2] for x in got.collect()))) == sorted(map(str, [rows[0], rows[1], rows[3], rows[6], rows[7], *rows[9:]]))
+
+
 def test_lm(docs):
     m = bloomlm.learn(docs)
     got = {x.doc_id: x for x in bloomlm.score(docs, m).collect()}
