@@ -249,6 +249,21 @@ def test_pages(spark):
     assert pagediff.extract(d.limit(0)).count() == 0
 
 
+def test_pages_of_mostly_boilerplate(spark):
+    """Template lines go whatever their share; what is shared with copies alone stays."""
+    divs = lambda *lines: "<html><body>" + "".join(f"<div>{x}</div>" for x in lines)
+    menu, story = [f"menu {i}" for i in range(12)], [f"story {i}" for i in range(50)]
+    own = lambda k: [f"{k} {i}" for i in range(3)]
+    data = [
+        (1, "http://two.x/1", divs(*menu, *own("a"))), (2, "http://two.x/2", divs(*menu, *own("b"))),
+        (3, "http://copy.x/1", divs(*menu, *own("c"))), (4, "http://copy.x/2", divs(*menu, *own("c"))), (5, "http://copy.x/3", divs(*menu, *own("d"))),
+        (6, "http://near.x/1", divs(*menu, *story, "monday")), (7, "http://near.x/2", divs(*menu, *story, "tuesday")), (8, "http://near.x/3", divs(*menu, *own("e"))),
+        (9, "http://same.x/1", divs(*menu, *own("f"))), (10, "http://same.x/2", divs(*menu, *own("f"))),
+    ]
+    got = {x.page_id: x.text.split("\n") for x in pagediff.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {1: own("a"), 2: own("b"), 3: own("c"), 4: own("c"), 5: own("d"), 6: [*story, "monday"], 7: [*story, "tuesday"], 8: own("e"), 9: [*menu, *own("f")], 10: [*menu, *own("f")]}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
