@@ -1,7 +1,7 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Tokens are the words of a text, A-Z lower-cased, and one end token.  Unigram counts are exact; pairs of tokens seen
-MIN_PAIRS times or more are held in a Bloom filter as quantised counts: a pair of count c is entered as the items
+Tokens are the words of a text, A-Z lower-cased, and one end token.  Unigram counts are exact; all pairs of
+tokens are held in a Bloom filter as quantised counts: a pair of count c is entered as the items
 (pair, 1) ... (pair, q), q = 1 + floor(log2 c), so that probing (pair, 1), (pair, 2), ... until one is absent gives q,
 never less than the true one.  The filter is a row of regions, one for each shard of pairs; the reducer that counts a
 shard also fills its region, so counts never meet on the driver.  The filter has BITS_PER_ITEM bits for each item at any
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from millrace.llm.common import M1, M2, crc_bucket, cut, mixed, table, text_runs, word_hashes
 
 MODULUS, HELD = 7, 2
-MIN_PAIRS = 2
 FILTER_BYTES, BITS_PER_ITEM, PROBES = 64 << 20, 12, 4
 MAX_BROADCAST = 8_000_000
 SMOOTH, MOST = 20.0, 0.75
@@ -184,8 +183,6 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int
         keys, counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         if kind == 1:
             return pd.DataFrame({"kind": [1], "shard": [shard], "distinct": [len(keys)], "total": [int(counts.sum())], "items": [0], "payload": [keys.astype("<u8").tobytes() + counts.astype("<i8").tobytes()]})
-        seen = counts >= MIN_PAIRS
-        keys, counts = keys[seen], counts[seen]
         return pd.DataFrame({"kind": [2], "shard": [shard], "distinct": [len(keys)], "total": [int(counts.sum())], "items": [int(quantised(counts).sum())], "payload": [pack(keys, np.minimum(counts, 0xFFFFFFFF))]})
 
     schema = "kind int, shard int, distinct long, total long, items long, payload binary"
@@ -232,7 +229,7 @@ def run_scores(ids: np.ndarray, edge: np.ndarray, c: np.ndarray, m: dict, levels
     before = shifted(c.astype(np.float64), edge, m["starts"])
     keys, back = np.unique(pair_keys(shifted(ids, edge, START), ids), return_inverse=True)
     q = levels(keys)[back]
-    own = np.where(q > 0, np.minimum(0.75 * np.exp2(q), before), 0.0)
+    own = np.where(q > 0, np.minimum(np.where(q > 1, 0.75 * np.exp2(q), 1.0), before), 0.0)
     lam = MOST * before / (before + SMOOTH)
     whole = np.log10(lam * np.divide(own, before, out=np.zeros_like(own), where=before > 0) + (1 - lam) * p)
     return [np.diff(edge), *(np.add.reduceat(x, edge[:-1]) for x in ((c > 0).astype(np.int64), np.log10(p), whole))]

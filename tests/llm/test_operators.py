@@ -189,6 +189,19 @@ def test_lm(docs):
     assert (q >= bloomlm.quantised(counts[mine])).all() and (q == bloomlm.quantised(counts[mine])).mean() > 0.9
 
 
+def test_lm_pairs_seen_once(spark):
+    """A held-out text that quotes a pair seen once scores above one of the same tokens in another order."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:9]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, f"a{k} b{k}") for k, i in enumerate(ids)] + [(held[0], "a1 b1"), (held[1], "a1 b2")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in bloomlm.score(d, bloomlm.learn(d)).collect()}
+    quote, other = got[held[0]], got[held[1]]
+    assert quote.base_score == pytest.approx(other.base_score) and quote.n_known == other.n_known == 3
+    p, lam = 2 / (27 + 19 + 1), 0.75 * 1 / 21  # c(a1) = c(b1) = 1, 27 tokens of 19 kinds
+    assert quote.score - other.score == pytest.approx(math.log10((lam + (1 - lam) * p) / ((1 - lam) * p)), rel=1e-6)
+
+
 def test_lm_filter_beyond_broadcast(docs, empty, monkeypatch):
     """A filter too large to broadcast gives the scores of a broadcast one, with any block size and either way of counting."""
     want = sorted((str(x.doc_id), x.n_tokens, x.n_known, x.base_score, x.score) for x in bloomlm.score(docs, bloomlm.learn(docs)).collect())
