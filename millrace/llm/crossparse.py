@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over labelled text: the words of a bounded sample of its documents
-(SAMPLE_WORDS different words per language, those of smallest hash, so any row order gives the same model), lower-cased
-and closed by a space on both sides.  A text is parsed word by word into longest matches of each automaton; the number
+This is the word-list form of cross-parsing: for each language a suffix automaton is built over words of a bounded sample
+of its labelled documents (the SAMPLE_WORDS different words that occur most, ties by the word, so any row order gives the
+same model), each lower-cased, standing alone and closed by a space on both sides; running text is in no automaton, and no
+match crosses a word.  A text is parsed word by word into longest matches of each automaton; the number
 of phrases, divided by the number of characters parsed, estimates the cross entropy, and the language that needs fewest
 normalised phrases wins (ties: the smaller name).  The score is the winner's margin over the runner-up,
 1 - phrases(winner) / phrases(next), brought to 0..1; with one learned language it is 1.
