@@ -5,10 +5,14 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import logging
+import signal
 import sys
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import __version__, config
@@ -37,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     db = groups.add_parser("db").add_subparsers(dest="command", required=True)
     command(db, "init", db_init)
     command(db, "status", db_status)
-    command(db, "vacuum", db_vacuum, (("--no-analyze",), flag))
+    command(db, "vacuum", db_vacuum, (("--no-analyze",), flag), (("--older-than",), {"type": float, "default": 3600.0}))
     corpus = groups.add_parser("corpus").add_subparsers(dest="command", required=True)
     command(corpus, "fetch", corpus_fetch, (("--corpus",), {}), (("--release",), {}), (("--language",), {}), (("--force",), flag), (("--hash",), flag))
     command(corpus, "index", corpus_index, (("--rehash",), flag), (("--language",), {}))
@@ -55,7 +59,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 class Context:
-    def __init__(self, args: argparse.Namespace, spark: SparkSession | None = None, fetch: releases.Fetch = releases.http_fetch) -> None:
+    def __init__(self, args: argparse.Namespace, spark: SparkSession | None = None, fetch: releases.Fetch = releases.http_fetch, client: Callable[[], search.Client] | None = None) -> None:
+        self.client = client
         self.settings = config.load()
         if args.catalog:
             self.settings = dataclasses.replace(self.settings, catalog=args.catalog)
@@ -63,11 +68,15 @@ class Context:
         self.fetch = fetch
         self.catalog = tables.Catalog(self.spark, self.settings.catalog_path)
 
-    def archive(self) -> str:
-        row = self.catalog.read("downloads").where("status = 'downloaded' and archive_path is not null").orderBy(F.desc("downloaded_at")).head()
+    def download(self) -> Row:
+        """The newest archive that is there."""
+        row = tables.ordered_downloads(self.catalog).where("status = 'downloaded' and archive_path is not null").head()
         if row is None:
             raise MillraceError("no archive: fetch one first")
-        return row.archive_path
+        return row
+
+    def archive(self) -> str:
+        return self.download().archive_path
 
 
 def db_init(c: Context, a: argparse.Namespace) -> None:
@@ -81,7 +90,7 @@ def db_status(c: Context, a: argparse.Namespace) -> None:
 
 
 def db_vacuum(c: Context, a: argparse.Namespace) -> None:
-    c.catalog.vacuum(not a.no_analyze)
+    c.catalog.vacuum(not a.no_analyze, a.older_than)
 
 
 def corpus_fetch(c: Context, a: argparse.Namespace) -> None:
@@ -93,8 +102,7 @@ def corpus_fetch(c: Context, a: argparse.Namespace) -> None:
     print(f"{r.url} ({r.size} KB)")
     row = c.spark.range(1).select(F.xxhash64(*map(F.lit, (r.corpus, r.version, lang))).alias("download_id"), *[F.lit(v).alias(k) for k, v in (("corpus", r.corpus), ("release", r.version), ("language", lang), ("url", r.url), ("status", "pending"))], *[F.lit(None).cast("string").alias(k) for k in ("archive_path", "sha256")])
     c.catalog.upsert("downloads", row, ("url", "archive_path", "sha256", "download_id"))
-    key = (F.col("corpus") == r.corpus) & (F.col("release") == r.version) & (F.col("language") == lang)
-    own = c.catalog.read("downloads").where(key).first().download_id
+    own = c.catalog.get("downloads", corpus=r.corpus, release=r.version, language=lang).download_id
     try:
         got = releases.download(r, s.downloads_dir, c.fetch, a.force)
         zip_corpus.check_archive(str(got.path))
@@ -109,9 +117,9 @@ def corpus_fetch(c: Context, a: argparse.Namespace) -> None:
 
 def corpus_index(c: Context, a: argparse.Namespace) -> None:
     c.catalog.ensure_current()
-    release = c.catalog.read("downloads").where("status = 'downloaded'").orderBy(F.desc("downloaded_at")).first().release
-    d = zip_corpus.entries(c.spark, c.archive(), a.language, content=a.rehash)
-    print(f"{search.index_files(c.catalog, d, release, a.rehash)} files, {zip_corpus.rejected(c.spark, c.archive())} names left out")
+    got = c.download()
+    d = zip_corpus.entries(c.spark, got.archive_path, a.language, content=a.rehash)
+    print(f"{search.index_files(c.catalog, d, got.release, a.rehash)} files, {zip_corpus.rejected(c.spark, got.archive_path)} names left out")
 
 
 def corpus_refresh(c: Context, a: argparse.Namespace) -> None:
@@ -123,12 +131,8 @@ def corpus_refresh(c: Context, a: argparse.Namespace) -> None:
 
 
 def metadata_fetch(c: Context, a: argparse.Namespace) -> None:
-    c.settings.downloads_dir.mkdir(parents=True, exist_ok=True)
-    for name, _ in (titles_tsv.BASICS, titles_tsv.EPISODES):
-        path = c.settings.downloads_dir / name
-        if a.force or not path.exists():
-            with path.open("wb") as out:
-                out.writelines(c.fetch(titles_tsv.BASE_URL + name, {}).blocks())
+    for path in titles_tsv.fetch(c.settings.downloads_dir, c.fetch, a.force):
+        print(path)
 
 
 def metadata_import(c: Context, a: argparse.Namespace) -> None:
@@ -140,27 +144,47 @@ def _engine(c: Context, concurrency: int | None) -> search.Engine:
     s = c.settings
     archive = c.archive()
     host, timeout = s.model_host, s.model_timeout
+    make = c.client or (lambda: search.HttpClient(host, timeout))
+    ensure = None if c.client else search.HttpClient(host, timeout).ensure_model
+    return search.Engine(c.catalog, make, lambda files: text.with_sentences(zip_corpus.contents(files, archive)), concurrency or s.concurrency, ensure_model=ensure)
 
-    def sentences(files):  # noqa: ANN001, ANN202
-        content = zip_corpus.members(c.spark, archive, content=True).select("rel_path", "content")
-        return text.with_sentences(files.join(content, "rel_path"))
 
-    return search.Engine(c.catalog, lambda: search.HttpClient(host, timeout), sentences, concurrency or s.concurrency, ensure_model=search.HttpClient(host, timeout).ensure_model)
+@contextmanager
+def stoppable(engine: search.Engine) -> Iterator[None]:
+    """An interrupt asks the engine to stop and keeps what it has; a second one breaks off."""
+
+    def stop(number: int, frame: object) -> None:
+        signal.signal(signal.SIGINT, old)
+        print("stopping after the calls under way; interrupt again to break off", file=sys.stderr)
+        engine.request_stop()
+
+    if threading.current_thread() is not threading.main_thread():  # signals belong to the main thread
+        yield
+        return
+    old = signal.signal(signal.SIGINT, stop)
+    try:
+        yield
+    finally:
+        signal.signal(signal.SIGINT, old)
 
 
 def search_run(c: Context, a: argparse.Namespace) -> None:
     loaded = manifest.load(a.manifest)
-    print(_engine(c, a.concurrency).start(loaded, a.limit))
+    engine = _engine(c, a.concurrency)
+    with stoppable(engine):
+        print(engine.start(loaded, a.limit))
 
 
 def search_resume(c: Context, a: argparse.Namespace) -> None:
-    print(_engine(c, a.concurrency).resume(a.run_id, a.limit))
+    engine = _engine(c, a.concurrency)
+    with stoppable(engine):
+        print(engine.resume(a.run_id, a.limit))
 
 
 def search_status(c: Context, a: argparse.Namespace) -> None:
     c.catalog.ensure_current()
     if a.run_id is None:
-        for r in c.catalog.read("runs").orderBy(F.desc("run_id")).collect():
+        for r in search.list_runs(c.catalog).collect():
             print(r.run_id, r.status, r.manifest_path)
     else:
         for r in search.run_progress(c.catalog, a.run_id).collect():
@@ -168,17 +192,17 @@ def search_status(c: Context, a: argparse.Namespace) -> None:
 
 
 def search_export(c: Context, a: argparse.Namespace) -> None:
-    if c.catalog.read("runs").where(F.col("run_id") == a.run_id).isEmpty():
+    if c.catalog.get("runs", run_id=a.run_id) is None:
         raise SearchError(f"no run {a.run_id}")
     dest = a.dest or str(Path(c.settings.exports_dir) / f"run-{a.run_id}.{a.format}")
     print(search.export_run(c.catalog, a.run_id, dest, a.format, not a.all), dest)
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, fetch: releases.Fetch = releases.http_fetch) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, fetch: releases.Fetch = releases.http_fetch, client: Callable[[], search.Client] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=(args.log_level or "INFO").upper())
     try:
-        args.fn(Context(args, spark, fetch), args)
+        args.fn(Context(args, spark, fetch, client), args)
     except MillraceError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -1,5 +1,5 @@
 """Column functions of the search engine: ids, paths, sentences, chunks, rendering, prompts.  All stay in the JVM,
-except the unescaping of character references in XML, which is an Arrow UDF."""
+except what comes last in reading XML (character references and time markers), which is an Arrow UDF."""
 
 from __future__ import annotations
 
@@ -39,9 +39,25 @@ def text_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(F.regexp_replace(x, "[ \t\r\n]+", " "))), lambda x: x != "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def unescape_all(s: pd.Series) -> pd.Series:
-    return s.map(lambda a: None if a is None else [" ".join(html.unescape(x).split()) for x in a])
+@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("text", "start", "end")]))
+def resolved(body: pd.Series, first_start: pd.Series, last_start: pd.Series, first_end: pd.Series, last_end: pd.Series) -> pd.DataFrame:
+    """Sentence texts without character references, and each sentence's start and end: its own markers, else the last start
+    before and the next end after."""
+    rows = []
+    for t, fs, ls, fe, le in zip(body, first_start, last_start, first_end, last_end, strict=True):
+        if t is None:
+            rows.append((None, None, None))
+            continue
+        start, end, held = [], [None] * len(t), None
+        for own, last in zip(fs, ls, strict=True):
+            start.append(held if own is None else own)
+            held = held if last is None else last
+        held = None
+        for i in range(len(t) - 1, -1, -1):
+            end[i] = held if le[i] is None else le[i]
+            held = held if fe[i] is None else fe[i]
+        rows.append(([" ".join(html.unescape(x).split()) for x in t], start, end))
+    return pd.DataFrame(rows, columns=["text", "start", "end"])
 
 
 def xml_sentences(xml: Column) -> Column:
@@ -59,13 +75,12 @@ def xml_sentences(xml: Column) -> Column:
 
 
 def with_sentences(files: DataFrame, xml: str = "content") -> DataFrame:
-    """files with sentences: array<struct<idx, id, text, start, end>> read from an XML column (binary or string)."""
-    d = files.withColumn("_p", xml_sentences(F.col(xml).cast("string"))).withColumn("_t", unescape_all(F.expr("_p.text")))
-    carry = "aggregate(_p, cast(array() as array<string>), (acc, x) -> acc || array(case when size(x.starts) > 0 then x.starts[size(x.starts) - 1] when size(acc) > 0 then acc[size(acc) - 1] end))"
-    d = d.withColumn("_before", F.expr(carry))
-    d = d.withColumn("_after", F.expr("reverse(aggregate(reverse(_p), cast(array() as array<string>), (acc, x) -> acc || array(case when size(x.ends) > 0 then x.ends[0] when size(acc) > 0 then acc[size(acc) - 1] end)))"))
-    sent = "transform(_p, (x, i) -> struct(cast(i as bigint) as idx, x.id as id, _t[i] as text, case when size(x.starts) > 0 then x.starts[0] when i > 0 then _before[greatest(i - 1, 0)] end as start, case when size(x.ends) > 0 then x.ends[size(x.ends) - 1] when i < size(_p) - 1 then _after[least(i + 1, size(_p) - 1)] end as `end`))"
-    return d.withColumn("sentences", F.expr(sent)).drop("_p", "_t", "_before", "_after")
+    """files with sentences: array<struct<idx, id, text, start, end>> read from an XML column (binary or string); null for null."""
+    d = files.withColumn("_p", xml_sentences(F.col(xml).cast("string")))
+    marker = lambda side, at: F.expr(f"transform(_p, x -> try_element_at(x.{side}, {at}))")
+    d = d.withColumn("_r", resolved(F.expr("_p.text"), marker("starts", 1), marker("starts", -1), marker("ends", 1), marker("ends", -1)))
+    sent = "transform(_p, (x, i) -> struct(cast(i as bigint) as idx, x.id as id, _r.text[i] as text, _r.start[i] as start, _r.`end`[i] as `end`))"
+    return d.withColumn("sentences", F.expr(sent)).drop("_p", "_r")
 
 
 def plain_sentences(files: DataFrame, text: str = "text") -> DataFrame:
@@ -92,27 +107,23 @@ def chunk_count(n: Column, size: int, overlap: int) -> Column:
     return F.when(n <= 0, F.lit(0)).otherwise(1 + F.ceil(F.greatest(n - size, F.lit(0)) / F.lit(float(size - overlap)))).cast("long")
 
 
-def chunked(files: DataFrame, size: int, overlap: int, first: int = 0) -> DataFrame:
-    """A row per chunk: chunk_index, sents, first and last sentence index, last_chunk.  No shuffle: a file's sentences are an array."""
+def chunked(files: DataFrame, size: int, overlap: int, first: int = 0, outer: bool = False) -> DataFrame:
+    """A row per chunk: chunk_index, sents, first and last sentence index, last_chunk.  No shuffle: a file's sentences are an
+    array, of which each chunk's row holds its own part alone.  With outer, a file without chunks has one row of nulls, in
+    which no_text tells whether it lacks its sentences altogether."""
     check_window(size, overlap)
     step = size - overlap
     n = F.size("sentences").cast("long")
-    d = files.withColumn("_n", chunk_count(n, size, overlap)).where(F.col("_n") > first)
-    d = d.withColumn("chunk_index", F.explode(F.sequence(F.lit(first).cast("long"), F.col("_n") - 1)))
-    d = d.withColumn("sents", F.slice("sentences", (F.col("chunk_index") * step + 1).cast("int"), F.lit(size)))
-    d = d.withColumn("first_sentence_index", F.col("chunk_index") * step).withColumn("last_sentence_index", F.least(F.col("chunk_index") * step + size, n) - 1)
-    return d.withColumn("last_chunk", F.col("chunk_index") == F.col("_n") - 1).drop("_n", "sentences")
-
-
-def chunked_rows(sentences: DataFrame, key: str, size: int, overlap: int, idx: str = "idx") -> DataFrame:
-    """The form for very long files whose sentences are rows: each sentence goes to the chunks that hold it."""
-    check_window(size, overlap)
-    step = size - overlap
-    n = sentences.groupBy(key).agg((F.max(idx) + 1).alias("_n"))
-    last = chunk_count(F.col("_n"), size, overlap) - 1
-    low = F.greatest(F.lit(0), F.floor((F.col(idx) - size) / F.lit(step)) + 1).cast("long")
-    d = sentences.join(n, key).withColumn("chunk_index", F.explode(F.sequence(low, F.least(F.floor(F.col(idx) / step).cast("long"), last))))
-    return d.drop("_n")
+    own = lambda k: F.struct(
+        k.alias("chunk_index"), F.slice("sentences", (k * step + 1).cast("int"), F.lit(size)).alias("sents"), (k * step).alias("first_sentence_index"),
+        (F.least(k * step + size, n) - 1).alias("last_sentence_index"), (k == F.col("_n") - 1).alias("last_chunk"),
+    )
+    d = files.withColumn("_n", chunk_count(n, size, overlap))
+    windows = F.when(F.col("_n") > first, F.transform(F.sequence(F.lit(first).cast("long"), F.col("_n") - 1), own))
+    kept = [c for c in files.columns if c != "sentences"]
+    if outer:
+        return d.select(*kept, F.col("sentences").isNull().alias("no_text"), F.inline_outer(windows))
+    return d.where(F.col("_n") > first).select(*kept, F.inline(windows))
 
 
 def rendered(sents: Column, with_ids: bool = True) -> Column:
@@ -176,11 +187,5 @@ def version_key(version: Column) -> Column:
     return F.when(F.forall(parts, lambda p: p.rlike("^[0-9]+$")), F.transform(parts, lambda p: p.try_cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key, by least order: an aggregate, so copies of a hot key combine before the shuffle."""
-    rest = [c for c in df.columns if c not in (*keys, order)]
-    return df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_m")).select(*keys, "_m.*").select(*df.columns)
-
-
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))

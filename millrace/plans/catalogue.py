@@ -84,8 +84,8 @@ def q_chunk_count_80_10(s, d):
 
 
 def q_chunk_render_ids(s, d):
-    c = text.chunked(text.plain_sentences(files(s, d)), SIZE, OVERLAP).where("chunk_index = 0")
-    return c.select("file_id", F.sha2(text.rendered(F.col("sents")), 256).alias("sha"))
+    c = text.chunked(text.plain_sentences(files(s, d)), SIZE, OVERLAP)
+    return c.select("file_id", "chunk_index", F.sha2(text.rendered(F.col("sents")), 256).alias("sha"))
 
 
 def _prefilter(mode: str, patterns: tuple[str, ...] = WORDS, **how: bool) -> Callable[[SparkSession, str], DataFrame]:
@@ -103,8 +103,9 @@ def q_select_unresolved(s, d):
 
 
 def q_select_imdb_ids(s, d):
-    ids = _t(s, d, "benchmark").select(text.title_id(F.col("item_id").cast("string")).alias("imdb_id"))
-    return files(s, d).join(ids, "imdb_id", "left_semi").select("file_id")
+    # the list as a manifest states it
+    ids = [r[0] for r in _t(s, d, "benchmark").select(text.title_id(F.col("item_id").cast("string"))).collect()]
+    return select_files(files(s, d).drop("year"), titles(s, d), Select(languages=("en", "fr", "de", "es"), exclude_adult=False, imdb_ids=tuple(ids))).select("file_id")
 
 
 def q_title_parent(s, d):
@@ -153,7 +154,7 @@ def q_run_progress(s, d):
 
 
 def _ledger(c: DataFrame) -> DataFrame:
-    return c.select(F.lit(1).alias("run_id"), "file_id", "chunk_index", F.lit("result").alias("kind"), "last_sentence_index", F.lit(None).cast("string").alias("last_sentence_id"), "last_chunk", F.lit(None).cast("string").alias("error"), F.lit(0).alias("created_at"))
+    return c.select(F.lit(1).alias("run_id"), "file_id", "chunk_index", "last_sentence_index", F.lit(None).cast("string").alias("last_sentence_id"), "last_chunk")
 
 
 def q_resume_position(s, d):
@@ -244,7 +245,7 @@ sentences: WITH {F}, {S} SELECT file_id, i - 1 AS sentence_index, a[i] AS text F
 sentence_count: WITH {F}, {S} SELECT file_id, len(a) AS sentence_count FROM s
 chunks: WITH {F}, {S}, {C} SELECT file_id, chunk_index, first_sentence_index, last_sentence_index, sha256(txt) AS txt_sha FROM c
 chunk_count_80_10: WITH {F}, {S} SELECT file_id, CASE WHEN len(a)=0 THEN 0 ELSE 1 + CAST(ceil(greatest(len(a)-80,0)/70) AS BIGINT) END AS chunk_count FROM s
-chunk_render_ids: WITH {F}, {S} SELECT file_id, sha256(array_to_string(list_transform(range(1, least(len(a),8)+1), lambda i: concat('[', i, '] ', a[i])), chr(10))) AS sha FROM s WHERE len(a) > 0
+chunk_render_ids: WITH {F}, {S} SELECT file_id, k AS chunk_index, sha256(array_to_string(list_transform(range(k*6+1, least(k*6+8,n)+1), lambda i: concat('[', i, '] ', a[i])), chr(10))) AS sha FROM (SELECT file_id, a, len(a) AS n, unnest(range(0, 1 + CAST(ceil(greatest(len(a)-8, 0)/6) AS BIGINT))) AS k FROM s WHERE len(a) > 0)
 prefilter_any: WITH {F}, {S}, {C} SELECT file_id, chunk_index FROM c WHERE contains(lower(txt),'license') OR contains(lower(txt),'ation')
 prefilter_all: WITH {F}, {S}, {C} SELECT file_id, chunk_index FROM c WHERE contains(lower(txt),'license') AND contains(lower(txt),'ation')
 prefilter_none: WITH {F}, {S}, {C} SELECT file_id, chunk_index FROM c WHERE NOT (contains(lower(txt),'license') OR contains(lower(txt),'ation'))

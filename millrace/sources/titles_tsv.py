@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pathlib import Path
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.errors import MetadataError
 from millrace.operators.tables import Catalog, merge, now
+from millrace.sources.releases import Fetch, total_size
 
 BASE_URL = "https://datasets.imdbws.com/"
 BASICS = ("title.basics.tsv.gz", ("tconst", "titleType", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "runtimeMinutes", "genres"))
@@ -48,7 +51,7 @@ def import_episodes(catalog: Catalog, path: str) -> int:
     num = lambda c: F.col(c).try_cast("int")
     new = r.select(F.col("tconst").alias("imdb_id"), F.col("parentTconst").alias("parent_imdb_id"), num("seasonNumber").alias("season_number"), num("episodeNumber").alias("episode_number")).dropDuplicates(["imdb_id"])
     known = new.join(catalog.read("titles").select("imdb_id"), "imdb_id", "left_semi")
-    catalog.replace("titles", merge(catalog.read("titles"), known, ["imdb_id"], ("parent_imdb_id", "season_number", "episode_number")))
+    catalog.rewrite("titles", lambda old: merge(old, known, ["imdb_id"], ("parent_imdb_id", "season_number", "episode_number")))
     return record(catalog, EPISODES[0], path, known.count())
 
 
@@ -67,3 +70,32 @@ def with_parents(titles: DataFrame) -> DataFrame:
 def resolve_many(titles: DataFrame, ids: DataFrame) -> DataFrame:
     """The titles of the ids, with parents; unknown ids are absent."""
     return with_parents(titles).join(ids.select("imdb_id").distinct(), "imdb_id", "left_semi")
+
+
+def resolve(titles: DataFrame, imdb_id: str) -> Row | None:
+    """One title with its parent's, by a filter that reaches the scan on both sides; None for an unknown id."""
+    own = titles.where(F.col("imdb_id") == imdb_id)
+    parents = titles.join(F.broadcast(own.select(F.col("parent_imdb_id").alias("imdb_id"))), "imdb_id", "left_semi")
+    return own.join(parents.select(F.col("imdb_id").alias("_p"), F.col("primary_title").alias("parent_title")), F.col("parent_imdb_id") == F.col("_p"), "left").drop("_p").head()
+
+
+def fetch(folder: Path, get: Fetch, force: bool = False) -> list[Path]:
+    """The list files into a folder; those that are there stay, unless forced.  A file takes its name only when all of a
+    reply with status 200 has come."""
+    folder.mkdir(parents=True, exist_ok=True)
+    out = []
+    for name, _ in (BASICS, EPISODES):
+        path, part = folder / name, folder / f"{name}.part"
+        if force or not path.exists():
+            r = get(BASE_URL + name, {})
+            if r.status != 200:
+                raise MetadataError(f"{BASE_URL}{name}: status {r.status}")
+            whole, done = total_size(r.headers, 0), 0
+            with part.open("wb") as f:
+                for block in r.blocks():
+                    done += f.write(block)
+            if whole is not None and done != whole:
+                raise MetadataError(f"{BASE_URL}{name}: {done} of {whole} bytes came")
+            part.replace(path)
+        out.append(path)
+    return out

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from millrace.errors import ArchiveError
 from millrace.functions.text import parsed_path
@@ -78,6 +81,7 @@ class ZipCorpus(DataSource):
 def members(spark: SparkSession, path: str, content: bool = False, partitions: int = 64, every: bool = False) -> DataFrame:
     """The subtitle members of an archive, or with every all files; directories never."""
     check_archive(path)
+    path = str(Path(path).resolve())  # tasks have working folders of their own
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # for the lookup of one member by name
     spark.dataSource.register(ZipCorpus)
     d = spark.read.format("zipcorpus").option("path", path).option("content", str(content).lower()).option("partitions", str(partitions)).load()
@@ -91,6 +95,23 @@ def open_member(spark: SparkSession, path: str, rel_path: str) -> bytes:
     return bytes(got.content)
 
 
+def contents(files: DataFrame, path: str) -> DataFrame:
+    """files with content: the members that their rel_path names, each read by its place in the archive, which every
+    executor must be able to open.  What isn't named is not read; null for a name that the archive lacks."""
+    check_archive(path)
+    path = str(Path(path).resolve())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with zipfile.ZipFile(path) as z:
+            have = set(z.namelist())
+            for b in batches:
+                names = b.column("rel_path").to_pylist()
+                for i, n in enumerate(names):  # a member at a time: they may be large
+                    yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([z.read(n) if n in have else None], pa.binary())], [*b.schema.names, "content"])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("content", BinaryType())]))
+
+
 def entries(spark: SparkSession, path: str, language: str | None = None, content: bool = False) -> DataFrame:
     """Members with their parsed paths; names that don't parse are left out, and rejected() counts them."""
     d = members(spark, path, content).withColumn("e", parsed_path(F.col("rel_path"))).where("e is not null").select("*", "e.*").drop("e")
@@ -109,5 +130,8 @@ def summary(paths: DataFrame, sample_size: int = 5, suffix: str = SUFFIX, order:
     counts = [F.count_if(F.col("_k") == k).alias(f"{k}_count") for k in ("subtitle", "metadata", "unexpected")]
     if order is None:
         return d.agg(*counts)
-    first = [F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("_k") == k, F.struct(order, "rel_path")))), 1, sample_size), lambda x: x["rel_path"]).alias(f"{k}_sample") for k in ("subtitle", "metadata", "unexpected")]
-    return d.agg(*counts, *first)
+    # the first names of each kind: a limit per kind keeps sample_size rows a task, whatever the number of members
+    kinds = ("subtitle", "metadata", "unexpected")
+    top = reduce(DataFrame.unionByName, [d.where(F.col("_k") == k).orderBy(order).limit(sample_size).select("_k", F.col(order).alias("_o"), "rel_path") for k in kinds])
+    named = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") == k, F.struct("_o", "rel_path")))), lambda x: x["rel_path"]).alias(f"{k}_sample")
+    return d.agg(*counts).crossJoin(top.agg(*map(named, kinds)))  # one row beside one row

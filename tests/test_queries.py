@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalogue
+from millrace.plans import catalogue, flows
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalogue.QUERIES | flows.QUERIES, catalogue.oracles() | flows.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -20,10 +21,10 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver tables aren't here")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, DATA).toPandas()
-    want = duck.execute(catalogue.oracles()[name]).fetchdf()
+    got = QUERIES[name](spark, DATA).toPandas()
+    want = duck.execute(ORACLES[name]).fetchdf()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns) and len(got) == len(want)
     rows = lambda d: sorted(map(tuple, d[cols].astype(object).where(d[cols].notna(), None).astype(str).values))
@@ -33,4 +34,4 @@ def test_query(spark, duck, name):
 def test_entry_imports_without_a_session():
     import __spark_entry__
 
-    assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
