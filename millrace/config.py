@@ -35,11 +35,11 @@ class Settings:
 
     @property
     def downloads_dir(self) -> Path:
-        return self.data_dir / "downloads"
+        return (self.data_dir / "downloads").resolve()  # Spark and its tasks have working folders of their own
 
     @property
     def exports_dir(self) -> Path:
-        return self.data_dir / "exports"
+        return (self.data_dir / "exports").resolve()
 
 
 def load(env_file: str | None = ".env") -> Settings:
