@@ -26,10 +26,14 @@ def words(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
+    """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset and all runs on this machine (tests)
+    a local one is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +42,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot with more than this part of the rows, and with HOT_ROWS rows at least; so there are never more than HOT_SHARE.
+HOT_SHARE, HOT_ROWS, HOT_SALTS = 256, 1000, 32
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how), inner or left, for a left side that is materialised and a right side of one row a key, or few.
+    Rows of hot keys are dealt over HOT_SALTS groups in turn, each of which gets the key's right rows."""
+    total = left.count()
+    if total <= HOT_ROWS:
+        return left.join(right, key, how)
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
+    hot = [r[0] for r in counts.where(F.col("_c") > max(HOT_ROWS, total // HOT_SHARE)).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SALTS)).cast("int")).otherwise(0)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.explode(salts)), [key, "_salt"], how).drop("_salt")
+
+
 def crc_bucket(doc_id: object, modulus: int) -> int:
     """crc32 of the id as text, modulo; a null id counts as the text 'null'."""
     return zlib.crc32(str("null" if doc_id is None else doc_id).encode()) % modulus
@@ -104,7 +128,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges(a, b): any comparable type, either direction, loops and repeats allowed.  Returns (node, root): root is the
     smallest node that links reach.  Nodes without an edge to another node do not appear.  Each pass is checkpointed,
     so the plan stays short and lost executors cost one pass.  A node's neighbours are only ever aggregated with
-    min(), never gathered, so a hub is no larger a burden than its row count, which map-side combining shrinks.
+    min(), never gathered.  Each join is followed by a shuffle on other keys, so a hub's rows may be split at run time.
     """
     both = edges.where("a is not null and b is not null and a <> b")
     e = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

@@ -7,13 +7,18 @@ their prefixes of n - T + l shingles share at least l.  l is chosen per set by e
 postings but asks for more shared shingles before a pair is verified; of two sets the smaller l holds for the pair.
 
 1. One pass over the texts counts shingles into the sketch and gives (doc_id, n, class).
-2. A second pass emits prefixes, packed by shingle shards; a shard's reducer finds the classes that share shingles.  Lists
-   of up to LIST classes give all their pairs; longer lists give pairs with their first class, and are kept as rows.
-3. Each class's best pair, and that with what leads it in a long list, is verified exactly, on whole sets that a third pass fetches for the classes named in pairs.
-   Links found so far are brought to components.
+2. A second pass emits prefixes, packed by shingle shards; a shard's reducer finds the classes that share shingles, in runs
+   of bounded size.  Lists of up to LIST classes give all their pairs; longer lists give pairs with their first class, and
+   are kept as rows.
+3. Each class's best pair, and that with what leads it in a long list, is verified exactly, on whole sets that a third pass
+   fetches for the classes named in pairs.  A class in many pairs meets its partners in salted groups, and its set is read
+   once a group.  Links found so far are brought to components.
 4. All other pairs that fit, and all pairs of long lists that could share enough after the place where they meet, are
-   verified if their components still differ.  No pair that
-   could join two components is left out, so the components are exact; pairs inside one component need no work.
+   verified if their components still differ.  No pair that could join two components is left out, so the components are
+   exact; pairs inside one component need no work.
+
+A class is named by 80 bits of a hash of its set; within a shard a shingle by 32 bits, so that two may be taken for one: that
+adds candidates, which are verified on whole 64-bit hashes.
 
 Cases: a null or blank text has an empty set and is linked with nothing; equal rows are separate documents of one class;
 a null doc_id is linked like any other and never names a component; empty tables give no rows; texts are read whole,
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M2, components, cut, mixed, table, text_runs, word_hashes
+from millrace.llm.common import M2, components, cut, hot_join, mixed, table, text_runs, word_hashes
 
 WIDTH, PERCENT = 5, 75
 SKETCH, SKETCH_PARTS = 1 << 20, 16
@@ -41,8 +47,14 @@ MOST_MATCHES = 4
 VERIFY = 16.0
 LIST = 48
 PARITY = 512
-FLUSH = 3_000_000
-BLOOM_BITS = 1 << 25
+#: Shingles that a task holds before it passes them on, and pairs that a reducer counts at a time.
+FLUSH, RUN = 1_000_000, 2_000_000
+#: Bytes of a class's name.
+NAME = 10
+#: Bits of the filter for each named class, and of a filter at most; more classes are fetched in several passes.
+NAME_BITS, BLOOM_BITS = 16, 1 << 27
+#: Partners of a class that are verified in one group.
+GROUP = 512
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -70,7 +82,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def class_of(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+    return xxhash.xxh3_128_digest(s.tobytes())[:NAME]
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
@@ -138,36 +150,42 @@ def prefix(s: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, shards: int) -> DataFrame:
-    """(shard, payload): owners (class, n, l, number of shingles) and their prefix shingles in that shard, each with
-    its place in the prefix in 256ths, rounded down."""
+    """(shard, payload): owners (class, n and l in one number, number of shingles) and their prefix shingles in that shard, as
+    32 bits, each with its place in the prefix in 256ths, rounded down.  An owner of more than 255 stands several times."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        own: list[tuple[bytes, int, int]] = []
+        own: list[tuple[bytes, int]] = []
         tokens: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(tokens)
             sizes = np.array([len(t) for t in tokens])
-            owner = np.repeat(np.arange(len(own)), sizes)
+            owner = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             place = (256 * place // sizes[owner]).astype(np.uint8)
-            shard = (flat % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((owner, shard))
+            shard = (flat % np.uint64(shards)).astype(np.int32)
+            flat = (flat >> np.uint64(24)).astype(np.uint32)
+            order = np.argsort(shard, kind="stable")  # owners stay in order within
             flat, owner, place, shard = flat[order], owner[order], place[order], shard[order]
             edge = np.searchsorted(shard, np.arange(shards + 1))
-            cls = np.frombuffer(b"".join(c for c, _, _ in own), "V16")
-            n, l = np.array([x for _, x, _ in own], np.uint32), np.array([x for _, _, x in own], np.uint8)
+            cls = np.frombuffer(b"".join(c for c, _ in own), f"V{NAME}")
+            nl = np.array([x for _, x in own], np.uint32)
             ids, raw = [], []
             for k in range(shards):
                 a, b = edge[k], edge[k + 1]
                 if a == b:
                     continue
                 who, cnt = np.unique(owner[a:b], return_counts=True)
+                if cnt.max() > 255:
+                    full = -(-cnt // 255)
+                    last = cnt - 255 * (full - 1)
+                    who, cnt = np.repeat(who, full), np.full(full.sum(), 255)
+                    cnt[np.cumsum(full) - 1] = last
                 ids.append(k)
-                raw.append(np.uint32(len(who)).tobytes() + cls[who].tobytes() + n[who].tobytes() + l[who].tobytes() + cnt.astype(np.uint32).tobytes() + flat[a:b].tobytes() + place[a:b].tobytes())
+                raw.append(np.uint32(len(who)).tobytes() + cls[who].tobytes() + nl[who].tobytes() + cnt.astype(np.uint8).tobytes() + flat[a:b].tobytes() + place[a:b].tobytes())
             own.clear()
             tokens.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(raw, pa.binary())], ["shard", "payload"])
@@ -177,7 +195,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, shards: int) -> DataFrame:
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
                     p, l = prefix(s, held.value)
-                    own.append((c, len(s), l))
+                    own.append((c, len(s) << 2 | l - 1))
                     tokens.append(p)
                     size += len(p)
                     if size >= FLUSH:
@@ -190,125 +208,173 @@ def postings(docs: DataFrame, sketch: np.ndarray, shards: int) -> DataFrame:
 
 
 def read_posting(raw: bytes) -> tuple[np.ndarray, ...]:
+    """Classes, n, l, and for each shingle its owner's number, itself, and its place."""
     k = int(np.frombuffer(raw, np.uint32, 1)[0])
-    cls = np.frombuffer(raw, "V16", k, 4)
-    n = np.frombuffer(raw, np.uint32, k, 4 + 16 * k)
-    l = np.frombuffer(raw, np.uint8, k, 4 + 20 * k)
-    cnt = np.frombuffer(raw, np.uint32, k, 4 + 21 * k)
-    flat = np.frombuffer(raw, np.uint64, int(cnt.sum()), 4 + 25 * k)
-    place = np.frombuffer(raw, np.uint8, len(flat), 4 + 25 * k + 8 * len(flat))
-    return cls, n, l, np.repeat(np.arange(k), cnt), flat, place
+    cls = np.frombuffer(raw, f"V{NAME}", k, 4)
+    nl = np.frombuffer(raw, np.uint32, k, 4 + NAME * k)
+    cnt = np.frombuffer(raw, np.uint8, k, 4 + (NAME + 4) * k)
+    at = 4 + (NAME + 5) * k
+    flat = np.frombuffer(raw, np.uint32, int(cnt.sum()), at)
+    place = np.frombuffer(raw, np.uint8, len(flat), at + 4 * len(flat))
+    return cls, (nl >> np.uint32(2)).astype(np.int64), (nl & np.uint32(3)).astype(np.int64) + 1, np.repeat(np.arange(k), cnt), flat, place
 
 
 PAIRS = "token long, a binary, b binary, na long, nb long, l int, shared int, place int"
 
 
-def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of classes that share shingles of the shard (shared: how many; 0 where a long list leaves it open; place: 1 where one leads the other), and
-    rows (token, a, na, l, place) of long lists."""
-    got = [read_posting(x) for x in pdf["payload"]]
-    base = np.cumsum([0, *(len(g[0]) for g in got)])
+def named_batch(uniq: np.ndarray, token: np.ndarray | None, a: np.ndarray, b: np.ndarray | None, na: np.ndarray, nb: np.ndarray, l: np.ndarray, shared: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    name = lambda i: pa.Array.from_buffers(pa.binary(NAME), len(i), [None, pa.py_buffer(uniq[i].tobytes())]).cast(pa.binary())
+    k = len(a)
+    cols = [pa.nulls(k, pa.int64()) if token is None else pa.array(token, pa.int64()), name(a), pa.nulls(k, pa.binary()) if b is None else name(b)]
+    cols += [pa.array(x, t) for x, t in ((na, pa.int64()), (nb, pa.int64()), (l.astype(np.int32), pa.int32()), (shared.astype(np.int32), pa.int32()), (place.astype(np.int32), pa.int32()))]
+    return pa.RecordBatch.from_arrays(cols, ["token", "a", "b", "na", "nb", "l", "shared", "place"])
+
+
+def reduce_shard(shard: int, shards: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that share shingles of the shard (shared: how many; place: 1 where one leads the other in a long list, which
+    leaves open how many more), and rows (token, a, na, l, place) of long lists.  A pair may come in several rows, whose
+    shared add up."""
+    got = [read_posting(x) for x in payloads]
     cls = np.concatenate([g[0] for g in got])
-    n, l = np.concatenate([g[1] for g in got]).astype(np.int64), np.concatenate([g[2] for g in got]).astype(np.int64)
+    sizes = [len(g[0]) for g in got]
+    base = np.cumsum([0, *sizes])
+    uniq, first, back = np.unique(cls, return_index=True, return_inverse=True)
+    n, l = np.concatenate([g[1] for g in got])[first], np.concatenate([g[2] for g in got])[first]
+    # of a class that several payloads hold, that of the first counts
+    source = np.repeat(np.arange(len(got)), sizes)
+    real = source == source[first][back]
     owner = np.concatenate([g[3] + b for g, b in zip(got, base, strict=False)])
     flat, place = np.concatenate([g[4] for g in got]), np.concatenate([g[5] for g in got])
-    uniq, back = np.unique(cls, return_inverse=True)  # a class from several tasks is one
-    first = np.full(len(uniq), len(cls))
-    np.minimum.at(first, back, np.arange(len(cls)))
-    n, l, owner = n[first], l[first], back[owner]
-    order = np.lexsort((owner, flat))
+    del got, cls
+    if not real.all():
+        keep = real[owner]
+        owner, flat, place = owner[keep], flat[keep], place[keep]
+    owner = back[owner].astype(np.int32)
+    order = np.argsort(flat, kind="stable")
     flat, owner, place = flat[order], owner[order], place[order]
-    keep = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
-    flat, owner, place = flat[keep], owner[keep], place[keep]
+    del order, back, real, source
     start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     size = np.diff(np.append(start, len(flat)))
-    codes, open_ = [], []
     k = len(uniq)
-    for m in range(2, LIST + 1):
-        s = start[size == m]
-        if len(s):
-            i, j = np.triu_indices(m, 1)
-            a, b = owner[s[:, None] + i].ravel(), owner[s[:, None] + j].ravel()
-            codes.append(a * k + b)
     # of a long list the class that stands earliest, over the long lists of the shard, leads: one with few rare shingles of
     # its own, such as what its near copies were made from, if that is there
-    long_ = np.flatnonzero(size > LIST)
-    rows = []
-    spans = [slice(start[x], start[x] + size[x]) for x in long_]
+    spans = [slice(start[x], start[x] + size[x]) for x in np.flatnonzero(size > LIST)]
     weight = np.zeros(k)
-    if spans:
-        weight = np.bincount(np.concatenate([owner[x] for x in spans]), np.concatenate([256.0 - place[x] for x in spans]), k)
+    for x in spans:
+        np.add.at(weight, owner[x], 256.0 - place[x])
     in_long = weight > 0
+
+    def counted(parts: list[np.ndarray], led: int) -> pa.RecordBatch:
+        code, shared = np.unique(np.concatenate(parts), return_counts=True)
+        a, b = code // k, code % k
+        fits = (a != b) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+        a, b, shared = a[fits], b[fits], shared[fits]
+        shared = shared + np.where(in_long[a] | in_long[b], MOST_MATCHES, 0)  # long lists leave open how many more there are
+        return named_batch(uniq, None, a, b, n[a], n[b], np.minimum(l[a], l[b]), shared, np.full(len(a), led))
+
+    parts, held = [], 0
+    for m in range(2, LIST + 1):
+        s = start[size == m]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, RUN // len(i))
+        for at in range(0, len(s), step):
+            some = s[at : at + step, None]
+            a, b = owner[some + i].ravel().astype(np.int64), owner[some + j].ravel()
+            parts.append(np.minimum(a, b) * k + np.maximum(a, b))
+            held += len(a)
+            if held >= RUN:
+                yield counted(parts, 0)
+                parts, held = [], 0
+    if parts:
+        yield counted(parts, 0)
+    parts, held = [], 0
     for x in spans:
-        own = owner[x]
+        own, at = owner[x].astype(np.int64), place[x]
         lead = own[np.argmax(weight[own])]
-        rest = own[own != lead]
-        open_.append(np.minimum(lead, rest) * k + np.maximum(lead, rest))
-        rows.append((flat[x.start], own, place[x]))
-    code, shared = np.unique(np.concatenate(codes + open_), return_counts=True) if codes or open_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    led = np.isin(code, np.concatenate(open_)) if open_ else np.zeros(len(code), bool)
-    a, b = code // k, code % k
-    fits = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
-    a, b, shared, led = a[fits], b[fits], shared[fits], led[fits]
-    shared = shared + np.where(in_long[a] | in_long[b], MOST_MATCHES, 0)  # long lists leave open how many more there are
-    name = [x.tobytes() for x in uniq]
-    out = {"token": [None] * len(a), "a": [name[i] for i in a], "b": [name[i] for i in b], "na": n[a].tolist(), "nb": n[b].tolist(), "l": np.minimum(l[a], l[b]).tolist(), "shared": shared.tolist(), "place": led.astype(int).tolist()}
-    for t, own, at in rows:
-        out["token"] += [int(t.astype(np.int64))] * len(own)
-        out["a"] += [name[i] for i in own]
-        out["b"] += [None] * len(own)
-        out["na"] += n[own].tolist()
-        out["nb"] += [0] * len(own)
-        out["l"] += l[own].tolist()
-        out["shared"] += [0] * len(own)
-        out["place"] += at.tolist()
-    frame = pd.DataFrame(out)
-    frame["token"] = pd.array(out["token"], "Int64")
-    return frame
-
-
-def bloom_of(names: DataFrame) -> np.ndarray:
-    """A filter of BLOOM_BITS bits over the classes; what it lets through besides is only fetched in vain."""
+        parts.append(np.minimum(lead, own) * k + np.maximum(lead, own))
+        held += len(own)
+        token = np.full(len(own), (int(flat[x.start]) * shards + shard) & (1 << 63) - 1, np.int64)
+        yield named_batch(uniq, token, own, None, n[own], np.zeros(len(own), np.int64), l[own], np.zeros(len(own), np.int64), at)
+        if held >= RUN:
+            yield counted(parts, 1)
+            parts, held = [], 0
+    if parts:
+        yield counted(parts, 1)
+
+
+def reduced(posted: DataFrame, shards: int) -> DataFrame:
+    """reduce_shard over all shards: a task takes its shards one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        shard, payloads = -1, []
+        for b in batches:
+            for own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if own != shard and payloads:
+                    yield from reduce_shard(shard, shards, payloads)
+                    payloads = []
+                shard = own
+                payloads.append(raw)
+        if payloads:
+            yield from reduce_shard(shard, shards, payloads)
+
+    return posted.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, PAIRS)
+
+
+def bloom_of(names: DataFrame, bits: int) -> np.ndarray:
+    """A filter of so many bits over the classes; what it lets through besides is only fetched in vain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
         for b in batches:
             if b.num_rows:
-                at = spots(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64).reshape(-1, 2))
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+                at = spots(np.frombuffer(b"".join(b.column(0).to_pylist()), f"V{NAME}"), bits)
+                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["bits"])
 
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for (raw,) in names.coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():
+    out = np.zeros(bits // 8, np.uint8)
+    for (raw,) in names.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(raw), np.uint8)
     return out
 
 
-def spots(cls: np.ndarray) -> np.ndarray:
-    a, b = cls[:, 0], cls[:, 1] | np.uint64(1)
-    return np.concatenate([((a + np.uint64(i) * b) % np.uint64(BLOOM_BITS)).astype(np.int64) for i in range(4)])
+def spots(cls: np.ndarray, bits: int) -> np.ndarray:
+    a = np.frombuffer(cls.tobytes(), np.uint8).reshape(-1, NAME)[:, :8].copy().view(np.uint64)[:, 0]
+    b = mixed(a) | np.uint64(1)
+    return np.concatenate([((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64) for i in range(4)])
 
 
 def sets_of(docs: DataFrame, names: DataFrame, form: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
-    """(cls, s): the whole sets of the named classes, or what form makes of each."""
-    held = docs.sparkSession.sparkContext.broadcast(bloom_of(names))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = held.value, set()
-        for b in batches:
-            cls, sets = [], []
-            for s in shingle_sets(b.column("text")):
-                c = class_of(s)
-                if len(s) and c not in seen:
-                    at = spots(np.frombuffer(c, np.uint64).reshape(1, 2))
-                    if ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all():
-                        seen.add(c)
-                        cls.append(c)
-                        sets.append(form(s))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "s"])
-
-    return docs.select("text").mapInArrow(run, "cls binary, s binary").groupBy("cls").agg(F.min("s").alias("s"))
+    """(cls, s): the whole sets of the named classes, or what form makes of each.  names: different classes, materialised."""
+    count = names.count()
+    bits = 1 << max(13, min(BLOOM_BITS.bit_length() - 1, int(count * NAME_BITS).bit_length()))
+    passes = max(1, -(-count * NAME_BITS // (2 * BLOOM_BITS)))
+
+    def fetched(names: DataFrame) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(bloom_of(names, bits))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filter_, seen = held.value, set()
+            for b in batches:
+                cls, sets, size = [], [], 0
+                for s in shingle_sets(b.column("text")):
+                    c = class_of(s)
+                    if len(s) and c not in seen:
+                        at = spots(np.frombuffer(c, f"V{NAME}"), bits)
+                        if ((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all():
+                            seen.add(c)
+                            cls.append(c)
+                            sets.append(form(s))
+                            size += len(sets[-1])
+                            if size > FLUSH:
+                                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "s"])
+                                cls, sets, size = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "s"])
+
+        return docs.select("text").mapInArrow(run, "cls binary, s binary")
+
+    every = [fetched(names if passes == 1 else names.where(F.pmod(F.crc32("cls"), F.lit(passes)) == i)) for i in range(passes)]
+    return reduce(DataFrame.union, every).groupBy("cls").agg(F.first("s").alias("s"))  # equal for one class
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -329,21 +395,42 @@ def parities(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    names = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = sets_of(docs, names)
+    """The pairs (a, b), materialised, whose whole sets link.  Of a pair the class in more pairs leads; a lead's set stands before
+    its partners' sets, in groups of about GROUP partners, so no set is copied into each pair."""
+    names = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("c")))
+    sets = sets_of(docs, names.select("cls"))
+    degree = lambda c, name: names.select(F.col("cls").alias(c), F.col("c").alias(name))
+    known = pairs.select("a", "b").join(degree("a", "ca"), "a").join(degree("b", "cb"), "b")
+    first = F.col("ca") >= F.col("cb")
+    led = known.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("cls"), F.ceil(F.greatest("ca", "cb") / GROUP).cast("int").alias("groups"))
+    led = cut(led.withColumn("g", F.pmod(F.xxhash64("cls"), F.col("groups")).cast("int")))
+    heads = led.select(F.col("lead").alias("cls"), "g").distinct().join(sets, "cls").select(F.col("cls").alias("lead"), "g", F.lit(None).cast("binary").alias("cls"), "s")
+    rows = heads.union(led.select("lead", "g", "cls").join(sets, "cls").select("lead", "g", "cls", "s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose, p = None, np.zeros(0, np.uint64)
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            lead, cls, s = b.column(0), b.column(2), b.column(3)
+            off, raw = np.frombuffer(s.buffers()[1], np.int32)[s.offset : s.offset + len(s) + 1], s.buffers()[2]
+            ok = np.zeros(len(s), bool)
+            for i in range(len(s)):
+                q = np.frombuffer(raw, np.uint64, (off[i + 1] - off[i]) // 8, off[i])
+                if not cls[i].is_valid:
+                    whose, p = lead[i].as_py(), q.copy()
+                elif lead[i].as_py() == whose:
+                    both = shared_size(p, q)
+                    ok[i] = 100 * both >= PERCENT * (len(p) + len(q) - both)
+            yield pa.RecordBatch.from_arrays([lead, cls], ["lead", "cls"]).filter(pa.array(ok))
+
+    met = rows.repartition("lead", "g").sortWithinPartitions("lead", "g", F.col("cls").asc_nulls_first())
+    return met.mapInArrow(run, "lead binary, cls binary").select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b"))
+
 
-    full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+def shared_size(p: np.ndarray, q: np.ndarray) -> int:
+    """How many the two sorted sets share."""
+    if len(p) > len(q):
+        p, q = q, p
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
 
 
 def pairs_across(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -363,7 +450,10 @@ def pairs_across(rows: DataFrame, docs: DataFrame) -> DataFrame:
     sides = small.select("token", "band", "ra", F.lit(1).alias("s")).union(large.select("token", "band", "ra", F.lit(0).alias("s")))
     open_ = cut(sides.groupBy("token", "band").agg(F.min("ra").alias("x"), F.max("ra").alias("y"), F.max("s").alias("s")).where("x <> y and s = 1").select("token", "band"))
     small, large = cut(small.join(open_, ["token", "band"], "left_semi")), cut(large.join(open_, ["token", "band"], "left_semi"))
-    bits = cut(parities(docs, small.select(F.col("a").alias("cls")).union(large.select(F.col("a").alias("cls"))).distinct()))
+    names = cut(small.select(F.col("a").alias("cls")).union(large.select(F.col("a").alias("cls"))).distinct())
+    if names.isEmpty():
+        return rows.select("a", F.col("a").alias("b")).limit(0)
+    bits = cut(parities(docs, names))
     flat = lambda c: [F.col("bits")[i].alias(f"{c}{i}") for i in range(PARITY // 64)]
     small = small.join(bits, small["a"] == bits["cls"]).select("token", "band", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"), F.col("most").alias("most_b"), *flat("q"))
     large = large.join(bits, large["a"] == bits["cls"]).select("token", "band", "a", "na", "ra", "most", "least", *flat("p"))
@@ -376,20 +466,27 @@ def pairs_across(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def class_components(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFrame:
     """(node, root) over the classes that link with another class."""
     shards = 1 << max(4, int(n_docs // 8000).bit_length())
-    found = cut(postings(docs, sketch, shards).groupBy("shard").applyInPandas(reduce_shard, PAIRS))
+    found = cut(reduced(postings(docs, sketch, shards), shards))
     pairs = found.where("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l"), F.max("place").alias("led")).where("shared >= l")
     pairs = cut(pairs.select("a", "b", "shared", "led"))
     either = pairs.select("a", F.col("b").alias("o"), "shared").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("o"), "shared"))
     best = either.groupBy("a").agg(F.max(F.struct("shared", "o")).alias("m")).select(F.least("a", "m.o").alias("a"), F.greatest("a", "m.o").alias("b"))
-    best = best.union(pairs.where("led = 1").select("a", "b")).distinct()
-    links = cut(verified(cut(best), docs))
-    roots = components(links)
-    root = lambda d, c, name: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    rest = root(root(pairs.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    across = pairs_across(root(found.where("token is not null").select("token", "a", "na", "l", "place"), "a", "ra"), docs)
-    rest = cut(rest.union(across).distinct().join(best, ["a", "b"], "left_anti"))
-    more = verified(rest, docs)
-    return components(links.union(more))
+    best = cut(best.union(pairs.where("led = 1").select("a", "b")).distinct())
+    roots = cut(components(verified(best, docs)))
+    root = lambda d, c, name: hot_join(d, roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    rest = root(cut(root(pairs.select("a", "b"), "a", "ra")), "b", "rb").where("ra <> rb").select("a", "b")
+    rows = found.where("token is not null").select("token", "a", "na", "l", "place")
+    if not rows.isEmpty():
+        rest = rest.union(pairs_across(root(rows, "a", "ra"), docs))
+    rest = cut(rest.distinct().join(best, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    # what links further joins whole components: only their roots are left to be brought together
+    more = cut(verified(rest, docs))
+    joined = components(root(cut(root(more, "a", "ra")), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    lone = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct().join(roots, "node", "left_anti").withColumn("root", F.col("node"))
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return hot_join(cut(roots.union(lone)), joined, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
 def classed(docs: DataFrame) -> DataFrame:
@@ -397,14 +494,15 @@ def classed(docs: DataFrame) -> DataFrame:
     first = cut(first_pass(docs))
     rows = first.where("part is null").drop("part", "salt", "payload")
     roots = class_components(docs.select("text"), sketch_of(first), rows.count())
-    return rows.join(roots, rows["cls"] == roots["node"], "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("root", "cls"))).drop("cls", "node", "root")
+    named = hot_join(rows, roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    return named.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("root", "cls"))).drop("cls", "root")
 
 
 def members(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document."""
-    named = classed(docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")).withColumnRenamed("n", "n_shingles")
+    named = cut(classed(docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")).withColumnRenamed("n", "n_shingles"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    return hot_join(named, least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

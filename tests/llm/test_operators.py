@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bloomlm, chatfmt, crossparse, e8dedup, editcount, mixing, ngramjoin, pagediff, piecebpe, quality
+from millrace.llm import bloomlm, chatfmt, common, crossparse, e8dedup, editcount, mixing, ngramjoin, pagediff, piecebpe, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, kept string, size int"
@@ -157,6 +157,71 @@ def test_ngram_join(docs, empty):
     assert ngramjoin.members(empty).count() == 0 and ngramjoin.one_of_each(docs).count() == len(set(comp.values()))
 
 
+def brute_components(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return {i: len(s) for i, s in sets.items()}, union(sets, pairs), pairs
+
+
+def union(nodes, pairs):
+    comp = {i: i for i in nodes}
+
+    def root(i):
+        while comp[i] != i:
+            comp[i] = comp[comp[i]]
+            i = comp[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        comp[max(a, b)] = min(a, b)
+    return {i: root(i) for i in nodes}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join_long_lists(spark, monkeypatch, small):
+    """A large group of near copies, a passage and a line in very many texts, chains across groups: lists beyond LIST, leads,
+    parities and the second round of components, all against brute force; with small bounds everything goes in many runs,
+    several passes and groups."""
+    if small:
+        for name, value in (("LIST", 6), ("RUN", 50), ("FLUSH", 400), ("GROUP", 3), ("BLOOM_BITS", 1 << 9)):
+            monkeypatch.setattr(ngramjoin, name, value)
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=4))
+    base, passage = [word() for _ in range(120)], [word() for _ in range(70)]
+    texts = {}
+    for i in range(130):  # near copies: some link with the base alone, some with each other
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4])):
+            w[r.randrange(len(w))] = word()
+        texts[i] = " ".join(w)
+    for i in range(200, 330):  # a shared passage, of a half to nine tenths of the text
+        texts[i] = " ".join(passage + [word() for _ in range(r.choice([8, 20, 30, 70]))])
+    chain = [word() for _ in range(100)]
+    for i in range(400, 440):  # neighbours in the chain link, its ends don't
+        texts[i] = " ".join(chain)
+        at = r.randrange(95)
+        chain = chain[:at] + [word()] + chain[at + 1 :]
+    for i in range(500, 520):
+        texts[i] = texts[r.randrange(130)]
+    sizes, want, pairs = brute_components(texts)
+    assert len(pairs) > 1000 and len(set(want.values())) > 60
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.members(d).collect()}
+    assert got == {i: (sizes[i], want[i]) for i in texts}
+
+
+def test_hot_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = common.cut(spark.range(600).select(F.when(F.col("id") < 400, 1).when(F.col("id") < 410, F.lit(None)).otherwise(F.col("id")).alias("k"), "id"))
+    right = spark.createDataFrame([(1, "x"), (500, "y"), (9, "z")], "k long, v string")
+    for how in ("left", "inner"):
+        assert sorted(map(str, common.hot_join(left, right, "k", how).select("k", "id", "v").collect())) == sorted(map(str, left.join(right, "k", how).select("k", "id", "v").collect()))
+
+
 def test_one_of_each_by_rows(spark):
     """Null and repeated ids of different texts are different documents; only near or exact copies go."""
     text = lambda k: " ".join(f"{k}{i}" for i in range(20))
