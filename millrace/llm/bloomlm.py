@@ -3,20 +3,25 @@
 Tokens are the words of a text, A-Z lower-cased, and one end token.  Unigram counts are exact; all pairs of
 tokens are held in a Bloom filter as quantised counts: a pair of count c is entered as the items
 (pair, 1) ... (pair, q), q = 1 + floor(log2 c), so that probing (pair, 1), (pair, 2), ... until one is absent gives q,
-never less than the true one.  The filter is a row of regions, one for each shard of pairs; the reducer that counts a
-shard also fills its region, so counts never meet on the driver.  The filter has BITS_PER_ITEM bits for each item at any
-corpus size.  One of up to FILTER_BYTES is broadcast; the regions of a larger one stay distributed, and the pairs of blocks
-of documents go to their regions by a shuffle on shard and come back as levels.  Both ways give the same.
-
-Probability of w after v: lam * c(v, w) / c(v) + (1 - lam) * p(w), with lam = c(v) / (c(v) + SMOOTH) * MOST, c(v, w) the
-middle of its quantised class but c(v) at most, and p(w) = (c(w) + 1) / (N + V + 1).
+never less than the true one.  The filter is a row of regions, one for each shard of pairs, that the reducers of the shards
+fill, so counts never meet on the driver.  A region has BITS_PER_ITEM bits for each of its items, so an absent pair is taken
+for one of count 1 with probability 0.0065, and each further level as seldom, at any corpus size.  A filter of up to FILTER_BYTES is
+broadcast; the regions of a larger one stay distributed, and the pairs of blocks of documents go to their regions by a
+shuffle on shard and come back as levels.  Both ways give the same.
+
+Probability of w after v, pairs backed by unigrams: lam * c(v, w) / c(v) + (1 - lam) * p(w), with
+lam = c(v) / (c(v) + SMOOTH) * MOST, c(v, w) the lower end of its quantised class, 2^(q - 1), so never above the true count,
+and p(w) = (c(w) + 1) / (N + V + 1).  As the true counts of all w after v add up to c(v), the probabilities after v, that
+of one unknown word included, add up to 1 at most, and, as no class is wider than a factor of 2, to 1 - lam / 2 at least
+(the filter's false positives aside).
 
 Unigram counts of up to MAX_BROADCAST different tokens are broadcast; beyond that size the tokens of each document are
 joined with their counts by a shuffle.  Both ways give the same.
 
 Cases: a null text is empty and scores its end token; documents are told apart by their rows, not their ids; a null id
 hashes as the text 'null'; empty tables give no rows; texts of any length are read whole; no column but doc_id and
-text is read.
+text is read.  The documents are read twice where the filter is not broadcast, and must come in the same order: a scan
+or a checkpoint does, anything else is checkpointed first, and a block that came otherwise is found out and fails.
 """
 
 from __future__ import annotations
@@ -30,17 +35,22 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm.common import M1, M2, crc_bucket, cut, mixed, table, text_runs, word_hashes
 
 MODULUS, HELD = 7, 2
 FILTER_BYTES, BITS_PER_ITEM, PROBES = 64 << 20, 12, 4
-MAX_BROADCAST = 8_000_000
+MAX_BROADCAST = 4_000_000
 SMOOTH, MOST = 20.0, 0.75
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end")), np.uint64(xxhash.xxh64_intdigest(b" start"))
-FLUSH = 4_000_000
+#: Tokens that a task counts before it passes the counts on.
+FLUSH = 2_000_000
 #: Documents whose pairs are looked up together in distributed regions have about so many bytes, or are one document.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Of a pair's key, the part that tells it from others of its shard; the bits above choose the shard.
+KEY_BITS = 40
+LOW = np.uint64((1 << KEY_BITS) - 1)
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -66,13 +76,40 @@ def shifted(x: np.ndarray, edge: np.ndarray, first: object) -> np.ndarray:
     return out
 
 
+def low_bytes(keys: np.ndarray) -> bytes:
+    """The low KEY_BITS of the keys."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
+
+
+def low_keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // KEY_BITS, 8), np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BITS // 8)
+    return out.view("<u8")[:, 0]
+
+
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return keys.astype("<u8").tobytes() + counts.astype("<u4").tobytes()
+    """Pairs of one shard with their counts, a byte each; a larger count stands in several entries."""
+    times = -(-counts // 255)
+    if times.max(initial=1) > 1:
+        last = counts - 255 * (times - 1)
+        keys, ends = np.repeat(keys, times), np.cumsum(times) - 1
+        counts = np.full(len(keys), 255)
+        counts[ends] = last
+    return low_bytes(keys) + counts.astype(np.uint8).tobytes()
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // 12
-    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n)
+    n = len(raw) * 8 // (KEY_BITS + 8)
+    return low_keys(raw[: n * KEY_BITS // 8]), np.frombuffer(raw, np.uint8, n, n * KEY_BITS // 8)
+
+
+def pack_tokens(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return keys.astype("<u8").tobytes() + counts.astype("<i8").tobytes()
+
+
+def unpack_tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 16
+    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +120,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+    return ((keys >> np.uint64(KEY_BITS)) % np.uint64(shards)).astype(np.int64)
 
 
 def gather_counts(train: DataFrame, shards: int) -> DataFrame:
@@ -101,9 +138,10 @@ def gather_counts(train: DataFrame, shards: int) -> DataFrame:
                 order = np.argsort(at, kind="stable")
                 keys, counts, at = keys[order], counts[order], at[order]
                 edge = np.searchsorted(at, np.arange(shards + 1))
+                put = pack_tokens if kind == 1 else pack
                 for s in range(shards):
                     if edge[s] < edge[s + 1]:
-                        kinds.append(kind), ids.append(s), raw.append(pack(keys[edge[s] : edge[s + 1]], counts[edge[s] : edge[s + 1]]))
+                        kinds.append(kind), ids.append(s), raw.append(put(keys[edge[s] : edge[s + 1]], counts[edge[s] : edge[s + 1]]))
                 parts.clear()
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int32()), pa.array(raw, pa.binary())], ["kind", "shard", "payload"])
 
@@ -125,34 +163,34 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
 
 
-def positions(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
+def positions(keys: np.ndarray, level: int, bits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
     """Bits of an item within its region: double hashing."""
-    a = mixed(keys + np.uint64((level * int(M1)) % (1 << 64)))
+    a = mixed((keys & LOW) + np.uint64((level * int(M1)) % (1 << 64)))
     b = mixed(a ^ M2) | np.uint64(1)
-    return [((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64) for i in range(PROBES)]
+    return (((a + np.uint64(i) * b) % bits).astype(np.int64) for i in range(PROBES))
 
 
-def fill(region_bits: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    bits = np.zeros(region_bits // 8, np.uint8)
+def fill(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The region of a shard's pairs, sized by its items."""
     q = quantised(counts)
+    bits = np.zeros(max(8, int(q.sum()) * BITS_PER_ITEM // 8), np.uint8)
     for level in range(1, int(q.max(initial=0)) + 1):
-        for p in positions(keys[q >= level], level, region_bits):
+        for p in positions(keys[q >= level], level, np.uint64(8 * len(bits))):
             np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
     return bits
 
 
-def probe(filter_: np.ndarray, shards: int, keys: np.ndarray) -> np.ndarray:
-    """Quantised counts of the pairs, 0 where the filter has none: levels are probed until one is absent."""
-    bits = filter_.size * 8 // shards
-    base = shard_of(keys, shards) * bits
+def probe(filter_: np.ndarray, edge: np.ndarray, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Quantised counts of the pairs, 0 where the filter has none: levels are probed until one is absent.  edge: where the
+    regions begin, the last is the end."""
+    start, bits = edge[shard], (8 * np.diff(edge)[shard]).astype(np.uint64)
     q = np.zeros(len(keys), np.int64)
-    live = np.arange(len(keys))
+    live = np.flatnonzero(bits)
     level = 1
     while len(live) and level < 64:
         there = np.ones(len(live), bool)
-        for p in positions(keys[live], level, bits):
-            at = base[live] + p
-            there &= (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        for p in positions(keys[live], level, bits[live]):
+            there &= (filter_[start[live] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
         live = live[there]
         q[live] = level
         level += 1
@@ -160,10 +198,10 @@ def probe(filter_: np.ndarray, shards: int, keys: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The learned model as the driver holds it: the filter and the token counts only where their sizes are within bounds;
-    regions (shard, bits) and table (token, count) are distributed."""
+    """The learned model as the driver holds it: the filter (regions one after the other, and where each begins) and the token
+    counts only where their sizes are within bounds; regions (shard, bits) and table (token, count) are distributed."""
 
-    def __init__(self, total: int, distinct: int, starts: int, shards: int, filter_: np.ndarray | None, regions: DataFrame, keys: np.ndarray | None, counts: np.ndarray | None, table_: DataFrame) -> None:
+    def __init__(self, total: int, distinct: int, starts: int, shards: int, filter_: tuple[np.ndarray, np.ndarray] | None, regions: DataFrame, keys: np.ndarray | None, counts: np.ndarray | None, table_: DataFrame) -> None:
         self.total, self.distinct, self.starts, self.shards = total, distinct, starts, shards
         self.filter, self.regions, self.keys, self.counts, self.table = filter_, regions, keys, counts, table_
 
@@ -173,53 +211,41 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % MODULUS
     train = docs.where(part != HELD)
     starts = train.count()
-    # so many shards that one holds some hundred thousand keys per gigabyte of a task's memory at any corpus size
+    # so many shards that one holds some million pairs at any corpus size
     shards = 1 << max(5, int(starts // 4000).bit_length())
     gathered = gather_counts(train, shards)
 
     def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
-        parts = [unpack(x) for x in pdf["payload"]]
+        parts = [(unpack_tokens if kind == 1 else unpack)(x) for x in pdf["payload"]]
         keys, counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-        if kind == 1:
-            return pd.DataFrame({"kind": [1], "shard": [shard], "distinct": [len(keys)], "total": [int(counts.sum())], "items": [0], "payload": [keys.astype("<u8").tobytes() + counts.astype("<i8").tobytes()]})
-        return pd.DataFrame({"kind": [2], "shard": [shard], "distinct": [len(keys)], "total": [int(counts.sum())], "items": [int(quantised(counts).sum())], "payload": [pack(keys, np.minimum(counts, 0xFFFFFFFF))]})
+        payload = pack_tokens(keys, counts) if kind == 1 else fill(keys, counts).tobytes()
+        return pd.DataFrame({"kind": [kind], "shard": [shard], "distinct": [len(keys)], "total": [int(counts.sum())], "size": [len(payload)], "payload": [payload]})
 
-    schema = "kind int, shard int, distinct long, total long, items long, payload binary"
+    schema = "kind int, shard int, distinct long, total long, size long, payload binary"
     counted = cut(gathered.groupBy("kind", "shard").applyInPandas(reduce_shard, schema))
-    tokens, pairs = counted.where("kind = 1"), counted.where("kind = 2")
+    tokens, regions = counted.where("kind = 1"), counted.where("kind = 2").select("shard", F.col("payload").alias("bits"))
     total, distinct = tokens.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    items = pairs.agg(F.coalesce(F.sum("items"), F.lit(0))).first()[0]
-    region = 8 * int(max(8, items * BITS_PER_ITEM // 8 // shards))
-
-    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [fill(region, *unpack(x)).tobytes() for x in b.column("payload").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(out, pa.binary())], ["shard", "bits"])
-
-    filled = pairs.select("shard", "payload").mapInArrow(regions, "shard int, bits binary")
+    size = counted.where("kind = 2").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     whole = None
-    if shards * region // 8 <= max(filter_bytes, 8 * shards):
-        whole = np.zeros(shards * region // 8, np.uint8)
-        for shard, raw in filled.toLocalIterator():
-            whole[shard * region // 8 : (shard + 1) * region // 8] = np.frombuffer(raw, np.uint8)
+    if size <= filter_bytes:
+        parts = {shard: np.frombuffer(raw, np.uint8) for shard, raw in regions.toLocalIterator()}
+        every = [parts.get(k, np.zeros(0, np.uint8)) for k in range(shards)]
+        whole = np.concatenate(every), np.cumsum([0, *map(len, every)])
     keys = counts = None
     if distinct <= max_broadcast:
-        ks, cs = [], []
-        for (raw,) in tokens.select("payload").toLocalIterator():
-            n = len(raw) // 16
-            ks.append(np.frombuffer(raw, "<u8", n)), cs.append(np.frombuffer(raw, "<i8", n, 8 * n))
-        keys = np.concatenate(ks) if ks else np.zeros(0, np.uint64)
+        got = [unpack_tokens(raw) for (raw,) in tokens.select("payload").toLocalIterator()]
+        keys, counts = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(keys)
-        keys, counts = keys[order], (np.concatenate(cs) if cs else np.zeros(0, np.int64))[order]
+        keys, counts = keys[order], counts[order]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column("payload").to_pylist():
-                n = len(raw) // 16
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8", n)), pa.array(np.frombuffer(raw, "<i8", n, 8 * n))], ["token", "count"])
+                k, c = unpack_tokens(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["token", "count"])
 
-    return Model(int(total), int(distinct), starts, shards, whole, filled, keys, counts, tokens.select("payload").mapInArrow(rows, "token long, count long"))
+    return Model(int(total), int(distinct), starts, shards, whole, regions, keys, counts, tokens.select("payload").mapInArrow(rows, "token long, count long"))
 
 
 def run_scores(ids: np.ndarray, edge: np.ndarray, c: np.ndarray, m: dict, levels: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
@@ -229,7 +255,7 @@ def run_scores(ids: np.ndarray, edge: np.ndarray, c: np.ndarray, m: dict, levels
     before = shifted(c.astype(np.float64), edge, m["starts"])
     keys, back = np.unique(pair_keys(shifted(ids, edge, START), ids), return_inverse=True)
     q = levels(keys)[back]
-    own = np.where(q > 0, np.minimum(np.where(q > 1, 0.75 * np.exp2(q), 1.0), before), 0.0)
+    own = np.where(q > 0, np.minimum(np.exp2(q - 1), before), 0.0)
     lam = MOST * before / (before + SMOOTH)
     whole = np.log10(lam * np.divide(own, before, out=np.zeros_like(own), where=before > 0) + (1 - lam) * p)
     return [np.diff(edge), *(np.add.reduceat(x, edge[:-1]) for x in ((c > 0).astype(np.int64), np.log10(p), whole))]
@@ -244,43 +270,68 @@ def block_pairs(texts: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.searchsorted(at[order], np.arange(shards + 1))
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """The rows with the block that each belongs to, materialised; a block lies in one partition."""
+def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of a partition with the number of the block that they belong to: the rows' places decide, so a second reading of
+    the same partition gives the same blocks."""
+    done = 0
+    for b in batches:
+        n = pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = (done + np.cumsum(n) - n) // BLOCK_BYTES
+        done += int(n.sum())
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), b.num_rows]
+        for i, k in zip(cuts[:-1], cuts[1:], strict=True):
+            if i < k:
+                yield int(number[i]), b.slice(i, k - i)
+
+
+def asked_pairs(rows: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, keys): the different pairs of each block, by shard; rows have their partition's number in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = 0
-        for b in batches:
-            n = pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            before = done + np.cumsum(n) - n
-            done += int(n.sum())
-            block = (b.column("block").to_numpy(zero_copy_only=False).astype(np.int64) << 32) + before // BLOCK_BYTES
-            yield b.set_column(b.schema.get_field_index("block"), "block", pa.array(block, pa.int64()))
+        def asked(block: int, texts: list[pa.Array]) -> pa.RecordBatch:
+            keys, edge = block_pairs(pa.concat_arrays(texts), shards)
+            use = [s for s in range(shards) if edge[s] < edge[s + 1]]
+            raw = [low_bytes(keys[edge[s] : edge[s + 1]]) for s in use]
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(raw, pa.binary())], ["block", "shard", "keys"])
+
+        now, texts = None, []
+        for number, b in blocked(batches):
+            block = (b.column("part")[0].as_py() << 32) + number
+            if texts and block != now:
+                yield asked(now, texts)
+                texts = []
+            now = block
+            texts.append(b.column("text"))
+        if texts:
+            yield asked(now, texts)
+
+    return rows.select("part", "text").mapInArrow(run, "block long, shard int, keys binary")
+
 
-    rows = rows.withColumn("block", F.spark_partition_id().cast("long"))
-    return cut(rows.mapInArrow(run, rows.schema))
+def in_blocks(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b in blocked(batches):
+            block = pa.array([(b.column("part")[0].as_py() << 32) + number] * b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, block], [*b.schema.names, "block"])
 
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("block", LongType())])).drop("part")
 
-def looked_up(blocks: DataFrame, model: Model) -> DataFrame:
-    """(block, shard, q): levels of the block's pairs in the shard, in the order of block_pairs, a byte each."""
-    shards = model.shards
 
-    def ask(key: tuple, t: pa.Table) -> pa.Table:
-        keys, edge = block_pairs(t.column("text").combine_chunks(), shards)
-        use = [s for s in range(shards) if edge[s] < edge[s + 1]]
-        raw = [keys[edge[s] : edge[s + 1]].astype("<u8").tobytes() for s in use]
-        return pa.table([pa.array([key[0].as_py()] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(raw, pa.binary())], ["block", "shard", "keys"])
+def looked_up(asked: DataFrame, model: Model) -> DataFrame:
+    """(block, shard, q, check): levels of the block's pairs in the shard, in the order of block_pairs, a byte each, and a hash
+    of the keys that were asked."""
 
     def answer(asked: pa.Table, region: pa.Table) -> pa.Table:
         raw = asked.column("keys").to_pylist()
-        keys = np.frombuffer(b"".join(raw), "<u8")
+        keys = low_keys(b"".join(raw))
         bits = region.column("bits").to_pylist()
-        q = (probe(np.frombuffer(bits[0], np.uint8), 1, keys) if bits else np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes()
-        edge = np.cumsum([0, *(len(x) // 8 for x in raw)])
+        filter_ = np.frombuffer(bits[0], np.uint8) if bits else np.zeros(0, np.uint8)
+        q = probe(filter_, np.array([0, len(filter_)]), np.zeros(len(keys), np.int64), keys).astype(np.uint8).tobytes()
+        edge = np.cumsum([0, *(len(x) * 8 // KEY_BITS for x in raw)])
         out = [q[i:k] for i, k in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "q"])
+        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary()), pa.array([xxhash.xxh32_intdigest(x) for x in raw], pa.int64())], ["block", "shard", "q", "check"])
 
-    asked = blocks.select("block", "text").groupBy("block").applyInArrow(ask, "block long, shard int, keys binary")
-    return asked.groupBy("shard").cogroup(model.regions.groupBy("shard")).applyInArrow(answer, "block long, shard int, q binary")
+    return asked.groupBy("shard").cogroup(model.regions.groupBy("shard")).applyInArrow(answer, "block long, shard int, q binary, check long")
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -291,6 +342,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     m = {"total": model.total, "distinct": model.distinct, "starts": model.starts, "shards": model.shards}
     own = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    if model.filter is None and "Exchange" in own._jdf.queryExecution().executedPlan().toString():
+        own = cut(own)  # read twice, and what comes from a shuffle may come in another order
 
     def emit(ids: list, got: list) -> pa.RecordBatch:
         cols = [np.concatenate(x) for x in zip(*got, strict=True)] if got else [()] * 4
@@ -325,6 +378,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         met = named.select("row", "text").mapInArrow(tokens_of, "row long, token long").join(model.table, "token")
         found = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("token", "count"))).alias("found"))  # one document's own
         rows = named.join(found, "row", "left").select("doc_id", "text", "found")
+        if model.filter is None:
+            rows = cut(rows)  # read twice
 
         def counted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             found_ = iter(b.column("found"))
@@ -340,25 +395,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                levels = lambda keys: probe(filter_.value, m["shards"], keys)
+                levels = lambda keys: probe(*filter_.value, shard_of(keys, m["shards"]), keys)
                 yield emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)])
 
         out = rows.mapInArrow(run, OUT)
     else:
-        blocks = in_blocks(rows)
+        parted = rows.withColumn("part", F.spark_partition_id().cast("long"))
 
         def run_block(t: pa.Table, answers: pa.Table) -> pa.Table:
             keys, edge = block_pairs(t.column("text").combine_chunks(), m["shards"])
-            q = np.zeros(len(keys), np.uint8)
-            for s, raw in zip(answers.column("shard").to_pylist(), answers.column("q").to_pylist(), strict=True):
+            q, met = np.zeros(len(keys), np.uint8), 0
+            for s, raw, check in zip(*(answers.column(c).to_pylist() for c in ("shard", "q", "check")), strict=True):
+                if check != xxhash.xxh32_intdigest(low_bytes(keys[edge[s] : edge[s + 1]])):
+                    raise RuntimeError("the documents came in another order: checkpoint them first")
                 q[edge[s] : edge[s + 1]] = np.frombuffer(raw, np.uint8)
+                met += len(raw)
+            if met != len(keys):
+                raise RuntimeError("the documents came in another order: checkpoint them first")
             order = np.argsort(keys)
             keys, q = keys[order], q[order].astype(np.int64)
             levels = lambda own_keys: q[np.searchsorted(keys, own_keys)]
             batches = t.combine_chunks().to_batches()
             return pa.Table.from_batches([emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)]) for b in batches])
 
-        out = blocks.groupBy("block").cogroup(looked_up(blocks, model).groupBy("block")).applyInArrow(run_block, OUT)
+        answers = looked_up(asked_pairs(parted, m["shards"]), model)
+        out = in_blocks(parted).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run_block, OUT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
