@@ -2,10 +2,14 @@
 
 A text is parted into pre-tokens of a byte-level BPE vocabulary.  Its tree has buckets of pre-tokens as leaves, each
 with its text and token count, and sums of characters and tokens above.  An edit (place, characters to delete, text to
-insert) descends by character sums to the buckets that it touches, takes in the neighbour where it touches an edge,
-re-encodes those buckets alone, and updates the sums above them.  Buckets end only between a character that isn't
+insert) descends by character sums to the buckets that it touches, takes in the next bucket with text where it touches an
+edge, re-encodes those buckets alone, and updates the sums above them.  Buckets end only between a character that isn't
 white space and one that is: there a pre-token always ends, so nothing outside the touched buckets can change.
 
+Between runs the leaves are a table (doc_id, bucket, text, chars, tokens): leaf_table makes it, edit_leaves applies a table of
+edits (doc_id, step, place, del, ins) to the documents that it names, encoding the touched buckets alone, and leaf_counts gives
+the counts.
+
 Cases: a null text is empty; places beyond the end act at the end, deletions end with the text; null edits and null
 inserts do nothing; texts are never cut; extra columns aren't read.
 """
@@ -73,6 +77,16 @@ class TokenTree:
         self.encoded = 0
         self.build(self.leaves(text))
 
+    @classmethod
+    def of_leaves(cls, leaves: list[tuple[str, int]], counter: Counter) -> TokenTree:
+        """The tree of stored leaves; nothing is encoded."""
+        tree = cls("", counter)
+        tree.build([x for x in leaves if x[0]])
+        return tree
+
+    def stored(self) -> list[tuple[str, int]]:
+        return [(t, self.tokens[self.width + i]) for i, t in enumerate(self.text) if t]
+
     def leaves(self, text: str) -> list[tuple[str, int]]:
         """Buckets of about BUCKET pre-tokens, with their token counts."""
         self.encoded += len(text)
@@ -124,10 +138,10 @@ class TokenTree:
         last, b = self.find(stop)
         before, after = "".join(self.text[first : first + 1])[:a], self.text[last][b:] if self.text else ""
         lo, hi = first, last
-        if a == 0 and lo > 0:  # the edit touches the edge: what it puts there may join the bucket before
+        while not before and lo > 0:  # the edit touches the edge: what it puts there may join the text before
             lo -= 1
             before = self.text[lo]
-        if not after and hi + 1 < self.used:
+        while not after and hi + 1 < self.used:
             hi += 1
             after = self.text[hi]
         fresh = self.leaves(before + insert + after)
@@ -188,6 +202,65 @@ def count_with_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
+LEAF = "doc_id long, bucket long, text string, chars long, tokens long"
+
+
+def _leaf_batch(doc_id: int | None, leaves: list[tuple[str, int]]) -> pa.RecordBatch:
+    t = [x for x, _ in leaves]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([doc_id] * len(t), pa.int64()), pa.array(range(len(t)), pa.int64()), pa.array(t, pa.string()), pa.array([len(x) for x in t], pa.int64()), pa.array([n for _, n in leaves], pa.int64())],
+        ["doc_id", "bucket", "text", "chars", "tokens"],
+    )
+
+
+def leaf_table(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The leaves of all documents; an empty text has one without text, so its document stays known."""
+    own = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(own)
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                yield _leaf_batch(doc_id, TokenTree(text.as_py() or "", counter).stored() or [("", 0)])
+
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, LEAF)
+
+
+def edit_leaves(leaves: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """The leaves after the edits (doc_id, step, place, del, ins), those of a document in the order of step.  Documents without
+    edits keep their rows; edits of unknown documents do nothing.  Ids are taken to be different and not null here."""
+    own = path or vocabulary_path()
+    edits = edits.where("doc_id is not null and place is not null").selectExpr("cast(doc_id as bigint) as doc_id", "cast(step as bigint) as step", "cast(place as bigint) as place", "cast(del as bigint) as del", "cast(ins as string) as ins")
+    named = edits.select("doc_id").distinct()
+
+    def run(leaves: pa.Table, edits: pa.Table) -> pa.Table:
+        counter = _counter(own)
+        if not len(leaves):
+            return _leaf_table([])
+        rows = sorted(zip(leaves.column("bucket").to_pylist(), leaves.column("text").to_pylist(), leaves.column("tokens").to_pylist(), strict=True))
+        tree = TokenTree.of_leaves([(t, n) for _, t, n in rows], counter)
+        for e in sorted(edits.to_pylist(), key=lambda e: e["step"] or 0):
+            tree.edit(e["place"], e["del"] or 0, e["ins"] or "")
+        return _leaf_table([_leaf_batch(leaves.column("doc_id")[0].as_py(), tree.stored() or [("", 0)])])
+
+    changed = leaves.join(named, "doc_id", "left_semi").groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInArrow(run, LEAF)
+    return leaves.join(named, "doc_id", "left_anti").select(*changed.columns).union(changed)
+
+
+def _leaf_table(batches: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(batches or [_leaf_batch(None, [])])
+
+
+@lru_cache(maxsize=1)
+def _counter(path: str) -> Counter:
+    return Counter(path)
+
+
+def leaf_counts(leaves: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_chars: the sums, of which the map side makes one row a document and task."""
+    return leaves.groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), F.sum("chars").alias("n_chars"))
+
+
 #: Three edits per document: an insertion, a replacement and a deletion at places that follow from the id.
 INSERTS = (" a corrected phrase,", "\n\n", "")
 
