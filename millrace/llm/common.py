@@ -46,20 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
 HOT_SHARE, HOT_ROWS, HOT_SALTS = 256, 1000, 32
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left.join(right, key, how), inner or left, for a left side that is materialised and a right side of one row a key, or few.
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", extra: tuple[str, ...] = ()) -> DataFrame:
+    """left.join(right, [key, *extra], how), inner or left, for a left side that is materialised and a right side of one row a key, or few.
     Rows of hot keys are dealt over HOT_SALTS groups in turn, each of which gets the key's right rows."""
     total = left.count()
     if total <= HOT_ROWS:
-        return left.join(right, key, how)
+        return left.join(right, [key, *extra], how)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
     hot = [r[0] for r in counts.where(F.col("_c") > max(HOT_ROWS, total // HOT_SHARE)).select(key).collect()]
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right, [key, *extra], how)
     is_hot = F.col(key).isin(hot)
     salt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SALTS)).cast("int")).otherwise(0)
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.explode(salts)), [key, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.explode(salts)), [key, *extra, "_salt"], how).drop("_salt")
 
 
 def crc_bucket(doc_id: object, modulus: int) -> int:
