@@ -113,8 +113,10 @@ def mix(sizes: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with their own columns, each as often as its taken words come to its size, rounded."""
-    took = mix(cut(sized(docs))).where("size > 0").withColumn("_copies", F.expr("cast(round(taken / size) as int)")).where("_copies > 0")
+    """The documents of the mix with their own columns, each as often as its taken words come to its size.  A fraction is rounded up
+    with its own probability, by the document's hash, so the words of a source come near its target as the parts would."""
+    chance = F.expr("conv(substring(hash, 20, 12), 16, 10) / 281474976710656D")
+    took = mix(cut(sized(docs))).where("size > 0").withColumn("_copies", F.floor(F.col("taken") / F.col("size") + chance).cast("int")).where("_copies > 0")
     # equal ids share one row of counts: the rows of an id are told apart by size and by their place among equals
     own = docs.withColumn("_size", F.size(words(F.col("text").cast("string"))).cast("long")).withColumn("_key", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))))
     w = Window.partitionBy("key", "doc_id", "size").orderBy("row")
