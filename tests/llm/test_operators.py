@@ -5,11 +5,13 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from millrace.llm import bloomlm, chatfmt, common, crossparse, e8dedup, editcount, mixing, ngramjoin, pagediff, piecebpe, quality
@@ -50,6 +52,23 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@pytest.fixture
+def bounds(monkeypatch):
+    """Sets constants of an operator's module, here and in the tasks, which otherwise import the module as it is."""
+    seen = set()
+
+    def put(module, **values):
+        for name, value in values.items():
+            monkeypatch.setattr(module, name, value)
+        if module.__name__ not in seen:
+            seen.add(module.__name__)
+            cloudpickle.register_pickle_by_value(module)
+
+    yield put
+    for name in seen:
+        cloudpickle.unregister_pickle_by_value(sys.modules[name])
+
+
 def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
@@ -117,15 +136,45 @@ def test_language(docs, empty):
     truth = [(x.lang, out[x.doc_id].lang_pred) for x in docs.collect() if x.doc_id < 900 and x.doc_id % 5 != 1 and len(x.text) > 150 and "$" not in x.text]
     assert sum(a == b for a, b in truth) >= 0.95 * len(truth)
     assert crossparse.predict(docs, {}).where("lang_pred <> 'und'").count() == 0 and crossparse.predict(empty, crossparse.learn(empty)).count() == 0
-    r = random.Random(4)
-    for _ in range(200):  # phrases against the definition
-        segs = ["".join(r.choices("abc", k=r.randint(1, 8))) for _ in range(4)]
-        a, t = crossparse.Automaton(segs), "".join(r.choices("abcd", k=r.randint(0, 14)))
-        n, i = 0, 0
-        while i < len(t):
-            k = max((k for k in range(1, len(t) - i + 1) if any(t[i : i + k] in s for s in segs)), default=1)
+
+
+def brute_phrases(text, sample):
+    """Longest matches of a normalised text in the sample, by the definition; pieces are parsed apart."""
+    n = 0
+    for at in range(0, len(text), crossparse.PIECE):
+        piece, i = text[at : at + crossparse.PIECE], 0
+        while i < len(piece):
+            k = 1
+            while i + k < len(piece) and piece[i : i + k + 1] in sample:
+                k += 1
             n, i = n + 1, i + k
-        assert a.phrases(t) == n, (segs, t)
+    return n
+
+
+def test_cross_parsing_by_definition(spark, monkeypatch):
+    """Phrases, winners and scores against substring search: matches across words, unknown characters, long runs without a
+    space, texts of several pieces, ties."""
+    monkeypatch.setattr(crossparse, "PIECE", 40)
+    monkeypatch.setattr(crossparse, "SLICE", 200)
+    r = random.Random(4)
+    samples = {k: crossparse.normalised("".join(r.choices(v + " ", k=300))) for k, v in {"aa": "abc", "bb": "bcd", "zh": "字中文本", "cc": "abcd"}.items()}
+    m = crossparse.Model(samples)
+    texts = ["".join(r.choices(r.choice(["abc ", "bcd  ", "字中文", "abcdx9 ", "字a "]), k=r.choice([1, 5, 30, 200]))) for _ in range(150)] + [None, "", "12 3", "ЖЖ Ж", "a" * 500, "ABC"]
+    for t, (name, score, rate) in zip(texts, m.predict(texts), strict=True):
+        own = crossparse.normalised(t or "")
+        if not own:
+            assert (name, score) == ("und", 0.0)
+            continue
+        n = {k: brute_phrases(own, v) for k, v in samples.items()}
+        two = sorted(n.values())[:2]
+        assert name == min(n, key=lambda k: (n[k], k)) and score == pytest.approx(1 - two[0] / two[1]) and rate == pytest.approx(two[0] / len(own))
+    assert m.predict(["ЖЖ Ж"])[0][:2] == ("aa", 0.0)
+    long = spark.createDataFrame([(i, "字中" * 3000, "zh") for i in range(20)] + [(i, "abc " * 50, "en") for i in range(100, 120)], "doc_id long, text string, lang string")
+    sample = crossparse.learn(long)
+    assert set(sample) == {"zh", "en"} and len(sample["zh"]) == crossparse.SAMPLE_CHARS and crossparse.Model(sample).predict(["中字中"])[0][0] == "zh"
+    more = [(1001, "abc abc", "x"), (1002, "ЖЖ", None), (1003, "9", "x"), (1004, None, "x"), (None, "字中" * 50, "zh")]
+    kept = crossparse.filter_documents(spark.createDataFrame(more, long.schema).union(long))
+    assert {x.doc_id for x in kept.collect()} == {1001, 1002, None, *range(20), *range(100, 120)}
 
 
 def test_chat(spark):
@@ -157,6 +206,30 @@ def test_ngram_join(docs, empty):
     assert ngramjoin.members(empty).count() == 0 and ngramjoin.one_of_each(docs).count() == len(set(comp.values()))
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 10000])
+def test_chat_streams(spark, bounds, rows_a_batch):
+    """Conversations that span batches and parts, one with a third of all turns, rows of no conversation, clashing columns."""
+    bounds(chatfmt, PART_BYTES=300)
+    r = random.Random(3)
+    text = lambda: "".join(r.choices("ab<[\\]/é字 \n", k=r.randrange(30)))
+    data = [(r.choice([7, 7, 1, 2, 3, None]), i, r.choice(["user", "assistant", "system", "]x<"]), text(), b"clash", 0) for i in range(150)]
+    want = {}
+    for c, _, role, t, *_ in data:
+        want.setdefault(("alone", len(want)) if c is None else c, []).append((role, t))
+    rows = []
+    for k, ts in want.items():
+        loss = "".join(t for role, t in ts if role == "assistant")
+        rows.append((None if isinstance(k, tuple) else k, len(ts), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in ts).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        f = chatfmt.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string, formatted binary, part int"))
+        got = [tuple(x)[:5] for x in chatfmt.digest(f).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, rows)) and (rows_a_batch > 3 or f.where("part > 0").count() > 0)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
@@ -182,13 +255,12 @@ def union(nodes, pairs):
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_ngram_join_long_lists(spark, monkeypatch, small):
+def test_ngram_join_long_lists(spark, bounds, small):
     """A large group of near copies, a passage and a line in very many texts, chains across groups: lists beyond LIST, leads,
     parities and the second round of components, all against brute force; with small bounds everything goes in many runs,
     several passes and groups."""
     if small:
-        for name, value in (("LIST", 6), ("RUN", 50), ("FLUSH", 400), ("GROUP", 3), ("BLOOM_BITS", 1 << 9)):
-            monkeypatch.setattr(ngramjoin, name, value)
+        bounds(ngramjoin, LIST=6, RUN=50, FLUSH=400, GROUP=3, BLOOM_BITS=1 << 9)
     r = random.Random(9)
     word = lambda: "".join(r.choices("abcdefghij", k=4))
     base, passage = [word() for _ in range(120)], [word() for _ in range(70)]
@@ -214,8 +286,8 @@ def test_ngram_join_long_lists(spark, monkeypatch, small):
     assert got == {i: (sizes[i], want[i]) for i in texts}
 
 
-def test_hot_join(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
+def test_hot_join(spark, bounds):
+    bounds(common, HOT_ROWS=10)
     left = common.cut(spark.range(600).select(F.when(F.col("id") < 400, 1).when(F.col("id") < 410, F.lit(None)).otherwise(F.col("id")).alias("k"), "id"))
     right = spark.createDataFrame([(1, "x"), (500, "y"), (9, "z")], "k long, v string")
     for how in ("left", "inner"):
@@ -248,10 +320,53 @@ def test_lm(docs):
     assert all(joined[k] == pytest.approx(x.score) for k, x in got.items())
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 5000).astype(np.uint64))
     counts = np.random.default_rng(2).integers(1, 2000, len(keys))
-    mine = bloomlm.shard_of(keys, 1) == 0
-    filter_ = bloomlm.fill(8 * 100000, keys[mine], counts[mine])
-    q = bloomlm.probe(filter_, 1, keys[mine])
-    assert (q >= bloomlm.quantised(counts[mine])).all() and (q == bloomlm.quantised(counts[mine])).mean() > 0.9
+    assert all(np.array_equal(x, y) for x, y in zip(bloomlm.summed(*bloomlm.unpack(bloomlm.pack(keys, counts))), bloomlm.summed(keys & bloomlm.LOW, counts), strict=True))
+    filter_ = bloomlm.fill(keys, counts)
+    edge, zero = np.array([0, len(filter_)]), np.zeros(len(keys), np.int64)
+    q = bloomlm.probe(filter_, edge, zero, keys)
+    assert (q >= bloomlm.quantised(counts)).all() and (q == bloomlm.quantised(counts)).mean() > 0.98
+    assert (bloomlm.probe(filter_, edge, zero, keys + np.uint64(1)) > 0).mean() < 0.015
+
+
+def test_lm_by_definition(docs, spark, bounds):
+    """Scores against counts in plain Python, and the sum of the probabilities over the vocabulary, with a filter too large to err."""
+    bounds(bloomlm, BITS_PER_ITEM=400)
+    rows = docs.collect()
+    split = lambda t: [*WORD.findall(lower(t)), "</end>"]
+    one, two, starts = collections.Counter(), collections.Counter(), 0
+    for x in rows:
+        if zlib.crc32(str(x.doc_id).encode()) % 7 != 2:
+            t = split(x.text)
+            one.update(t)
+            two.update(zip(["<start>", *t[:-1]], t, strict=True))
+            starts += 1
+    n, v = sum(one.values()), len(one)
+    after = one | {"<start>": starts}
+
+    def p(a, w):
+        c = after.get(a, 0)
+        lam = 0.75 * c / (c + 20)
+        q = two.get((a, w), 0).bit_length()
+        return lam * min(2.0 ** (q - 1) if q else 0.0, c) / max(c, 1) + (1 - lam) * (one.get(w, 0) + 1) / (n + v + 1)
+
+    got = {(x.doc_id, x.n_tokens): x.score for x in bloomlm.score(docs, bloomlm.learn(docs)).collect()}
+    for x in rows:
+        t = split(x.text)
+        assert got[x.doc_id, len(t)] == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip(["<start>", *t[:-1]], t, strict=True)), rel=1e-6)
+    for a in ["<start>", "a", "the", "never seen", *random.Random(1).sample(sorted(one), 5)]:
+        c = after.get(a, 0)
+        total = sum(p(a, w) for w in one if (a, w) in two or True) + (1 - 0.75 * c / (c + 20)) / (n + v + 1)
+        assert 1 - 0.375 * c / (c + 20) - 1e-9 <= total <= 1 + 1e-9
+
+
+def test_lm_cases(spark, empty):
+    """Null and repeated ids, extra columns of clashing names, an empty table, documents in another order."""
+    rows = [(None, "a b", "x", 1.0), (None, "a b c", "y", 2.0), (3, "a b", None, None), (3, "a b", None, None), (4, None, "z", 0.0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, token string, score double")
+    for size in (1, bloomlm.FILTER_BYTES):
+        got = sorted((str(x.doc_id), x.n_tokens) for x in bloomlm.score(d, bloomlm.learn(d, filter_bytes=size)).collect())
+        assert got == [("3", 3), ("3", 3), ("4", 1), ("None", 3), ("None", 4)]
+        assert bloomlm.score(empty, bloomlm.learn(empty, filter_bytes=size)).count() == 0
 
 
 def test_lm_pairs_seen_once(spark):
@@ -267,11 +382,11 @@ def test_lm_pairs_seen_once(spark):
     assert quote.score - other.score == pytest.approx(math.log10((lam + (1 - lam) * p) / ((1 - lam) * p)), rel=1e-6)
 
 
-def test_lm_filter_beyond_broadcast(docs, empty, monkeypatch):
+def test_lm_filter_beyond_broadcast(docs, empty, bounds):
     """A filter too large to broadcast gives the scores of a broadcast one, with any block size and either way of counting."""
     want = sorted((str(x.doc_id), x.n_tokens, x.n_known, x.base_score, x.score) for x in bloomlm.score(docs, bloomlm.learn(docs)).collect())
     for max_broadcast, size in ((bloomlm.MAX_BROADCAST, 1 << 20), (1, 2000)):
-        monkeypatch.setattr(bloomlm, "BLOCK_BYTES", size)
+        bounds(bloomlm, BLOCK_BYTES=size)
         m = bloomlm.learn(docs, max_broadcast, filter_bytes=1)
         got = sorted((str(x.doc_id), x.n_tokens, x.n_known, x.base_score, x.score) for x in bloomlm.score(docs, m).collect())
         assert m.filter is None and len(got) == len(want) and all(g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-12) for g, w in zip(got, want, strict=True))
@@ -298,9 +413,42 @@ def test_embeddings(spark):
         n[b] += 1
     assert sum(x.n_links for x in got.values()) >= 0.9 * sum(n.values()) and all(x.n_links <= n[i] for i, x in got.items())
     assert np.mean([x.component_id == comp[i] for i, x in got.items()]) > 0.95
+    assert all(comp[x.component_id] == comp[i] for i, x in got.items())  # no component joins what no link joins
     assert e8dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("setting", [x[1:] for x in e8dedup.SETTINGS])
+def test_lattice_recall(setting):
+    """Pairs of cosine 0.98 meet at every setting, and unrelated vectors as seldom as stated."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for dim in (64, 256):
+        a = unit(rng.standard_normal((1500, dim)))
+        z = rng.standard_normal((1500, dim))
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * unit(z - (z * a).sum(1, keepdims=True) * a)
+        one = np.zeros(1500, np.int64)
+        x, y = e8dedup.cells(a, one, setting), e8dedup.cells(b, one, setting)
+        met = ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1)
+        assert met.mean() >= 0.96
+        apart = ((x[:, :, :1] == np.roll(y, 1, axis=0)).any(2)).any(1)
+        assert apart.mean() < 0.02
+
+
+def test_embedding_magnitudes_and_copies(spark, bounds):
+    """Components of any magnitude, repeated ids, a vector that most rows repeat, cells beyond CELL, many small bins."""
+    bounds(common, HOT_ROWS=20)
+    bounds(e8dedup, CELL=8, BIN_BYTES=4096)
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((30, 16))
+    rows = [(0, (v[0] * 1e160).tolist(), 1), (1, (v[0] * 1e-170).tolist(), 1), (2, v[0].tolist(), 1), (2, v[0].tolist(), 1), (2, v[1].tolist(), 1), (3, v[1].tolist(), 1), (4, v[2].tolist(), 1)]
+    rows += [(100 + i, v[5].tolist(), 2) for i in range(60)] + [(200 + i, (v[5] + 0.01 * rng.standard_normal(16)).tolist(), 2) for i in range(40)]
+    got = {}
+    for x in e8dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect():
+        got.setdefault(x.vec_id, []).append((x.n_links, x.component_id, x.kept))
+    assert len(got[2]) == 3 and got[0] == [(2, 0, True)] and got[1] == [(2, 0, False)] and got[4] == [(0, 4, True)]
+    assert all(g == [(99, 100, i == 100)] for i, g in got.items() if i >= 100)
+
+
 def test_token_counts(docs, empty):
     counter = editcount.Counter(editcount.vocabulary_path())
     d = docs.select("doc_id", "text", editcount.standard_edits(F.col("doc_id"), F.col("text")).alias("edits"))
@@ -313,6 +461,34 @@ def test_token_counts(docs, empty):
     assert editcount.count_with_edits(empty.select("doc_id", "text", editcount.standard_edits(F.col("doc_id"), F.col("text")).alias("edits"))).count() == 0
 
 
+def test_random_edits(spark):
+    """Trees after random edits of any size, and the stored leaves after tables of edits, against encoding the whole text."""
+    counter = editcount.Counter(editcount.vocabulary_path())
+    r = random.Random(5)
+    bits = ["word", "zz", " ", "  ", "\n", "\n\n", "a.b", "é", "字", "12 ", "\t", "'s", "!"]
+    text = lambda k: "".join(r.choice(bits) for _ in range(k))
+    edit = lambda t: (r.randrange(len(t) + 2), r.choice([0, 1, 7, 100, 900]), r.choice(["", " ", "\n", "x", " new word", "\n\n", " a\nb" * 50]))
+    apply = lambda t, p, d, i: t[:p] + i + t[p + d :]
+    for _ in range(300):
+        t = text(r.choice([0, 5, 60, 900]))
+        tree = editcount.TokenTree(t, counter)
+        for _ in range(8):
+            e = edit(t)
+            tree.edit(*e)
+            t = apply(t, *e)
+            assert tree.whole() == t and tree.total == len(counter.enc.encode_ordinary(t))
+    own = {i: text(r.choice([0, 5, 60, 3000])) for i in range(30)}
+    leaves = editcount.leaf_table(spark.createDataFrame([(i, t or None) for i, t in own.items()], "doc_id long, text string"))
+    for _ in range(2):  # what a run stores the next one starts from
+        edits = [(i, k, *edit(own[i])) for i in own if i % 3 for k in (0,)] + [(99, 0, 0, 0, "x"), (None, 0, 0, 0, "x"), (2, 1, None, 0, "x")]
+        for i, _, p, d, x in edits:
+            if i in own and p is not None:
+                own[i] = apply(own[i], p, d, x)
+        leaves = editcount.edit_leaves(leaves, spark.createDataFrame(edits, "doc_id long, step long, place long, del long, ins string")).checkpoint()
+    got = {x.doc_id: (x.n_tokens, x.n_chars) for x in editcount.leaf_counts(leaves).collect()}
+    assert got == {i: (len(counter.enc.encode_ordinary(t)), len(t)) for i, t in own.items()}
+
+
 def test_pages(spark):
     page = lambda body, nav="menu": f"<html><head><title>t</title><script>var a='<p>'</script></head><body><nav><a>{nav}</a></nav><div class='ad'>buy</div>{body}<footer>&copy; x"
     data = [
@@ -342,11 +518,126 @@ def test_pages_of_mostly_boilerplate(spark):
     assert got == {1: own("a"), 2: own("b"), 3: own("c"), 4: own("c"), 5: own("d"), 6: [*story, "monday"], 7: [*story, "tuesday"], 8: own("e"), 9: [*menu, *own("f")], 10: [*menu, *own("f")]}
 
 
+def test_pages_inside_articles(spark):
+    """Only what is boilerplate by its whole name goes from an article; rows of one key keep their own html."""
+    wrap = lambda x: f"<body><nav>n</nav><article>{x}</article><div class='site-header'>h</div>"
+    kept = ["<div class='article-header'><h1>H</h1></div>", "<div class='entry-header'>e</div>", "<p class='post-header'>p</p>", "<ul class='search-results'><li>s</li></ul>", "<table class='share-price table'><tr><td>t</td></tr></table>", "<div id='notice-board'>n</div>", "<header>lead</header>"]
+    gone = ["<div class='comments'>c</div>", "<aside>a</aside>", "<p class='x ad'>buy</p>", "<form><p>f</p></form>", "<footer>by</footer>", "<div role='navigation'>r</div>"]
+    data = [(1, "http://a.x/1", wrap("".join(kept + gone))), (2, "http://b.x/1", wrap("<p>one</p>")), (2, "http://b.x/1", wrap("<p>two</p>")), (3, "http://c.x/1", "<div>m</div><div>one</div>"), (3, "http://c.x/1", "<div>m</div><div>two</div>")]
+    got = sorted((x.page_id, x.text) for x in pagediff.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect())
+    assert got == [(1, "H\ne\np\ns\nt\nn\nlead"), (2, "one"), (2, "two"), (3, "one"), (3, "two")]
+
+
+def test_longest_common_subsequence():
+    r = random.Random(6)
+    for _ in range(400):
+        a, b = ([r.randrange(r.choice([2, 4, 9])) for _ in range(r.randrange(12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = pagediff.lcs(a, b)
+        at = 0
+        for i in got:  # a subsequence of b too
+            at = b.index(a[i], at) + 1
+        assert len(got) == best[-1][-1] and got == sorted(set(got))
+
+
+def test_nearest_pages(spark):
+    """Whole extraction against a plain pass over all pages in order, with hosts over many ranges, copies and repeated rows."""
+    r = random.Random(8)
+    html = lambda *lines: "".join(f"<div>{x}</div>" for x in lines)
+    data = []
+    for i in range(300):
+        host = r.choice(["big.x", "big.x", "big.x", "a.x", "b.x", "", None])
+        menu = [f"{host} menu {k}" for k in range(r.choice([1, 3, 3]))]
+        own = [f"own {r.randrange(40)}" for _ in range(r.choice([0, 1, 2, 4]))]
+        body = html(*menu, *own, "end") if r.random() < 0.8 else f"<article><p>{i}</p></article>" + html(*menu)
+        data.append((i, None if host is None else f"http://{host}/{r.randrange(9)}/{r.randrange(60)}", body))
+        if i % 10 == 3:
+            data += [data[-1]] * r.choice([1, 6])
+    key = lambda x: ((x[1] or "").replace("http://", "").partition("/")[0], "/" + (x[1] or "//").replace("http://", "").partition("/")[2] if x[1] else "", x[0])
+    order = sorted(data, key=key)
+    pages = [(key(x)[0], pagediff.parsed(x[2])) for x in order]
+    want = []
+    for i, (host, (lines, open_, text)) in enumerate(pages):
+        near = []
+        for side in (range(i - 1, -1, -1), range(i + 1, len(pages))):
+            found = []
+            for j in side:
+                if pages[j][0] != host or len(found) == pagediff.NEAR:
+                    break
+                if pages[j][1][0] != lines and pages[j][1][0] not in found:
+                    found.append(pages[j][1][0])
+            near += found
+        if open_ is not None:
+            left = set(pagediff.differenced(lines, open_, near))
+            text = [t for k, t in zip(open_, text, strict=True) if k in left]
+        want.append((order[i][0], "\n".join(text)))
+    got = pagediff.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(7))
+    assert sorted((x.page_id, x.text) for x in got.collect()) == sorted(want)
+    assert sum(len(t.split("\n")) for _, t in want) < sum(len(p[1][2]) for p in pages)
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against a plain version of it: the rules' SQL, the parser's own verdicts, all pairs, the mix's SQL, the library."""
     import corpus_pipeline
+    import sentencepiece
+
+    rows = [(*x[:4], len(x[1] or "")) for x in make(90)]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "language_id", "ngram_join", "source_mix", "sentencepiece"]
+    plain = lambda d: sorted(map(tuple, d.collect()), key=str)
+    sql = _query
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+
+    one = common.cut(stages["quality_rules"](spark, docs, path))
+    kept = {r["doc_id"] for r in sql(quality.oracle(), documents=docs, labels=spark.read.parquet(f"{path}/labels.parquet")) if r["kept"]}
+    assert plain(one) == sorted((r for r in rows if r[0] in kept), key=str) and 0 < len(kept) < 95
+
+    two = common.cut(stages["language_id"](spark, one, path))
+    verdict = crossparse.Model(crossparse.learn(one)).predict([r[1] for r in plain(one)])
+    assert plain(two) == [r for r, (name, score, _) in zip(plain(one), verdict, strict=True) if name != "und" and (score == 0 or score >= 0.005)]
+
+    three = common.cut(stages["ngram_join"](spark, two, path))
+    _, comp, _ = brute_components({r[0]: r[1] for r in plain(two)})
+    assert {r[0] for r in plain(three)} == set(comp.values()) and len(plain(three)) == len(set(comp.values())) < len(comp)
+    assert set(plain(three)) <= set(plain(two))
+
+    four = common.cut(stages["source_mix"](spark, three, path))
+    times = {}
+    for r in sql(mixing.oracle(), documents=three):
+        chance = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[19:31], 16) / 2**48
+        times[r["doc_id"]] = math.floor(r["taken"] / r["size"] + chance)
+    assert plain(four) == sorted((r for r in plain(three) for _ in range(times[r[0]])), key=str)
+
+    five = plain(stages["sentencepiece"](spark, four, path))
+    sp = sentencepiece.SentencePieceProcessor(model_file=piecebpe.model_path())
+    want = [(r[0], sp.encode(r[1], add_bos=True, add_eos=True)) for r in plain(four)]
+    assert sorted((i, n, ids) for i, n, ids in five) == sorted((i, len(x), x) for i, x in want)
+    assert plain(corpus_pipeline.run(spark, path)) == five
+
+
+def _query(q, **frames):
+    con = duckdb.connect()
+    for name, f in frames.items():
+        con.register(name, f.toPandas())
+    return con.execute(q).fetchdf().to_dict("records")
+
+
+def test_mixed_totals(spark):
+    """Words that the copies of whole documents come to, near each source's target: no fraction is always rounded one way."""
+    r = random.Random(1)
+    rows = [(i, " ".join("w" * r.choice([1, 30, 100, 400])), f"s{i % 5}" if i % 5 else None) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.source: x.n for x in mixing.mixed_documents(d).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    target = {x.key: x.target for x in mixing.targets(mixing.cut(mixing.sized(d))).collect()}
+    for key, t in target.items():
+        assert abs(got["s" + key[2:] if key != "1" else None] - t) <= 0.05 * t, (key, t, got)
+    copy = mixing.mixed_documents(spark.createDataFrame(rows[:5] * 2, "doc_id long, text string, source string"))
+    assert copy.count() > 0
+
 
-    rows = [(*x[:4], len(x[1] or "")) for x in make(60)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert out and {x.doc_id for x in out} <= {r[0] for r in rows} and all(x.ids[0] == 1 and x.ids[-1] == 2 and x.n_tokens == len(x.ids) for x in out)
