@@ -1,7 +1,7 @@
 """SentencePiece (BPE with byte fallback) encoding and decoding by vectorised merge rounds.
 
-A text is cut where a marker U+2581 follows another character (no piece of the vocabulary reaches across; the table
-checks that), and each different segment of a batch is encoded once.  All segments lie in one flat numpy symbol array.
+A text is cut where a marker U+2581 follows another character (no piece of the vocabulary reaches across, and the model
+normalises nothing; the table checks both), and each different segment of a batch is encoded once.  All segments lie in one flat numpy symbol array.
 A round looks up the rank of every adjacent pair, takes the least rank of each segment, merges the leftmost pair of
 that rank, and compacts; segments without a pair leave the array.  Where a merged piece can't begin or end a pair of
 better rank, all its pairs in a segment merge in the same round, leftmost first, which gives the same result.  Symbols
@@ -26,7 +26,7 @@ from millrace.llm.common import table
 
 BOS, EOS, MARK = 1, 2, "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]*")
-CACHE_SEGMENTS, CACHE_CHARS = 400_000, 64
+CACHE_SEGMENTS, CACHE_CHARS = 200_000, 64
 #: Codes of characters in the symbol arrays: the code point above all piece ids.
 CHAR = 1 << 20
 NONE = np.int64(1) << 40
@@ -45,6 +45,9 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        odd = "\uff21 \ufb01  a\t\u00a0e\u0301  "
+        if sp.normalize(odd) != MARK + odd.replace(" ", MARK):
+            raise ValueError("the model normalises texts; this encoder doesn't apply")
         n = sp.get_piece_size()
         text = [sp.id_to_piece(i) for i in range(n)]
         special = np.array([sp.is_control(i) or sp.is_unknown(i) for i in range(n)])
