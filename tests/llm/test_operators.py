@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import sys
@@ -99,6 +100,17 @@ def test_quality(spark, docs, empty):
     assert tail == pytest.approx(sum(math.comb(50, i) * 0.1**i * 0.9 ** (50 - i) for i in range(4)), rel=1e-12)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver tables aren't here")
+def test_quality_certifies(spark):
+    """At the default level, on tables large enough for cutoffs to be certified: the rules' verdicts, against their SQL."""
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"create view {name} as select * from '/root/testdata/sf0.1/{name}.parquet'")
+    want = con.execute(f"SELECT doc_id, base_failed, kept FROM ({quality.oracle()})").fetchall()
+    got = [tuple(x) for x in quality.op1_quality_rules(spark, "/root/testdata/sf0.1").select("doc_id", "base_failed", "kept").collect()]
+    assert sorted(got) == sorted(want) and sum(not base and not kept for _, base, kept in got) > 100
+
+
 def test_mixing(docs, empty, spark):
     out = mixing.mix(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
     same(out.withColumn("target", F.round("target", 6)), f"SELECT * REPLACE (round(target, 6) AS target) FROM ({mixing.oracle()})", documents=docs)
@@ -260,6 +272,7 @@ def test_ngram_join_long_lists(spark, bounds, small):
     parities and the second round of components, all against brute force; with small bounds everything goes in many runs,
     several passes and groups."""
     if small:
+        bounds(common, SMALL_EDGES=5)
         bounds(ngramjoin, LIST=6, RUN=50, FLUSH=400, GROUP=3, BLOOM_BITS=1 << 9)
     r = random.Random(9)
     word = lambda: "".join(r.choices("abcdefghij", k=4))
@@ -319,8 +332,11 @@ def test_lm(docs):
     joined = {x.doc_id: x.score for x in bloomlm.score(docs, bloomlm.learn(docs, max_broadcast=1)).collect()}
     assert all(joined[k] == pytest.approx(x.score) for k, x in got.items())
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 5000).astype(np.uint64))
-    counts = np.random.default_rng(2).integers(1, 2000, len(keys))
-    assert all(np.array_equal(x, y) for x, y in zip(bloomlm.summed(*bloomlm.unpack(bloomlm.pack(keys, counts))), bloomlm.summed(keys & bloomlm.LOW, counts), strict=True))
+    counts = np.random.default_rng(2).choice([1, 1, 1, 2, 7, 254, 255, 256, 2000], len(keys))
+    low = np.unique(keys & bloomlm.LOW)
+    for some in (low, low[:2], low[:0], low[:: len(low) // 3]):
+        assert all(np.array_equal(x, y) for x, y in zip(bloomlm.summed(*bloomlm.unpack(bloomlm.pack(some, counts[: len(some)]))), (some, counts[: len(some)]), strict=True))
+        assert np.array_equal(bloomlm.all_keys(bloomlm.pack_keys(some)), some)
     filter_ = bloomlm.fill(keys, counts)
     edge, zero = np.array([0, len(filter_)]), np.zeros(len(keys), np.int64)
     q = bloomlm.probe(filter_, edge, zero, keys)
