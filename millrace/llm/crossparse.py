@@ -9,7 +9,7 @@ runner-up, 1 - phrases(winner) / phrases(next), brought to 0..1; with one learne
 
 Texts are parsed in pieces of PIECE characters, at whose ends a phrase ends too; this adds the same bound for all languages, and
 lets all pieces of many texts, in all languages, be parsed side by side in numpy.  The automata's transitions are one hash
-table, made on the driver from at most languages * SAMPLE_CHARS characters, and broadcast.
+table, made on the driver from at most TOTAL_CHARS characters, and broadcast.
 
 Cases: a null text, and one without a letter, is 'und' with score 0; with nothing to learn from, every text is; null
 languages and texts teach nothing; a text in no learned script ties, and gets the smallest name with score 0; prediction reads
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import crc_bucket_col, table
 
-#: Characters of text that a language is learned from; the first documents in the order of a hash, so the same at any size.
-SAMPLE_CHARS = 50_000
+#: Characters of text that a language is learned from, and all languages together, which bounds the broadcast; the first documents
+#: in the order of a hash, so the same at any size.
+SAMPLE_CHARS, TOTAL_CHARS = 50_000, 400_000
 #: So many times that sample is drawn by hash before it is cut.
 MARGIN = 4
 MODULUS, HELD = 4, 2
@@ -113,8 +114,8 @@ class Model:
             for c, target in states[0].items():
                 self.first[number[c], at] = base + target
             base += len(states)
-        self.bits = max(4, (4 * len(keys)).bit_length())
-        self.table, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.table, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         left, value = np.array(keys, np.int64), np.array(to, np.int64)
         at = self.spot(left)
         while len(left):  # each free place takes one of those that want it; the others go on
@@ -222,7 +223,8 @@ def learn(docs: DataFrame) -> dict[str, str]:
     out: dict[str, str] = {}
     for lang, _, text in sorted(rows):
         out[lang] = (out.get(lang, "") + normalised(text))[:SAMPLE_CHARS]
-    return {k: v for k, v in out.items() if v}
+    most = TOTAL_CHARS // max(len(out), 1)
+    return {k: v[:most] for k, v in out.items() if v[:most]}
 
 
 #: Texts that are parsed together have about so many characters, or are one text.
