@@ -7,7 +7,8 @@ never less than the true one.  The filter is a row of regions, one for each shar
 fill, so counts never meet on the driver.  A region has BITS_PER_ITEM bits for each of its items, so an absent pair is taken
 for one of count 1 with probability 0.0065, and each further level as seldom, at any corpus size.  A filter of up to FILTER_BYTES is
 broadcast; the regions of a larger one stay distributed, and the pairs of blocks of documents go to their regions by a
-shuffle on shard and come back as levels.  Both ways give the same.
+shuffle on shard and come back as levels.  Both ways give the same.  The bound is
+low, since each task's worker holds a copy.
 
 Probability of w after v, pairs backed by unigrams: lam * c(v, w) / c(v) + (1 - lam) * p(w), with
 lam = c(v) / (c(v) + SMOOTH) * MOST, c(v, w) the lower end of its quantised class, 2^(q - 1), so never above the true count,
@@ -35,12 +36,11 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm.common import M1, M2, crc_bucket, cut, mixed, table, text_runs, word_hashes
 
 MODULUS, HELD = 7, 2
-FILTER_BYTES, BITS_PER_ITEM, PROBES = 64 << 20, 12, 4
+FILTER_BYTES, BITS_PER_ITEM, PROBES = 8 << 20, 12, 4
 MAX_BROADCAST = 4_000_000
 SMOOTH, MOST = 20.0, 0.75
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end")), np.uint64(xxhash.xxh64_intdigest(b" start"))
@@ -76,31 +76,49 @@ def shifted(x: np.ndarray, edge: np.ndarray, first: object) -> np.ndarray:
     return out
 
 
-def low_bytes(keys: np.ndarray) -> bytes:
-    """The low KEY_BITS of the keys."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
+def compact(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard and low KEY_BITS of the keys, in this order of bits."""
+    return shard_of(keys, shards).astype(np.uint64) << np.uint64(KEY_BITS) | keys & LOW
 
 
-def low_keys(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) * 8 // KEY_BITS, 8), np.uint8)
-    out[:, : KEY_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BITS // 8)
-    return out.view("<u8")[:, 0]
+def pack_keys(low: np.ndarray) -> bytes:
+    """Sorted different keys of one shard: as steps of 4 bytes, or whole where a step is too wide."""
+    steps = np.diff(low, prepend=np.uint64(0))
+    if steps.max(initial=0) < 1 << 32:
+        return b"\0" + steps.astype("<u4").tobytes()
+    return b"\1" + np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
+
+
+def unpack_keys(raw: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """n keys, and where they end."""
+    if raw[at] == 0:
+        return np.cumsum(np.frombuffer(raw, "<u4", n, at + 1), dtype=np.uint64), at + 1 + 4 * n
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(raw, np.uint8, n * KEY_BITS // 8, at + 1).reshape(n, -1)
+    return out.view("<u8")[:, 0], at + 1 + n * KEY_BITS // 8
+
+
+def all_keys(raw: bytes) -> np.ndarray:
+    return unpack_keys(raw, (len(raw) - 1) // 4 if raw[0] == 0 else (len(raw) - 1) * 8 // KEY_BITS)[0]
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Pairs of one shard with their counts, a byte each; a larger count stands in several entries."""
-    times = -(-counts // 255)
-    if times.max(initial=1) > 1:
-        last = counts - 255 * (times - 1)
-        keys, ends = np.repeat(keys, times), np.cumsum(times) - 1
-        counts = np.full(len(keys), 255)
-        counts[ends] = last
-    return low_bytes(keys) + counts.astype(np.uint8).tobytes()
+    """Sorted pairs of one shard with their counts: those of count 1, the others, and their counts, a byte each and more for
+    large ones."""
+    one = counts == 1
+    more = counts[~one]
+    head = np.array([one.sum(), len(more)], "<u4").tobytes()
+    return head + pack_keys(keys[one]) + pack_keys(keys[~one]) + np.minimum(more, 255).astype(np.uint8).tobytes() + more[more >= 255].astype("<u4").tobytes()
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) * 8 // (KEY_BITS + 8)
-    return low_keys(raw[: n * KEY_BITS // 8]), np.frombuffer(raw, np.uint8, n, n * KEY_BITS // 8)
+    n, m = (int(x) for x in np.frombuffer(raw, "<u4", 2))
+    a, at = unpack_keys(raw, n, 8)
+    b, at = unpack_keys(raw, m, at)
+    counts = np.ones(n + m, np.int64)
+    counts[n:] = np.frombuffer(raw, np.uint8, m, at)
+    counts[n:][counts[n:] == 255] = np.frombuffer(raw, "<u4", -1, at + m)
+    return np.concatenate([a, b]), counts
 
 
 def pack_tokens(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -123,6 +141,11 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY_BITS)) % np.uint64(shards)).astype(np.int64)
 
 
+def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins among sorted compact keys; the last edge is the end."""
+    return np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
+
+
 def gather_counts(train: DataFrame, shards: int) -> DataFrame:
     """(kind, shard, payload): kind 1 tokens, 2 pairs; each payload is one task's summed counts of one shard."""
 
@@ -133,12 +156,16 @@ def gather_counts(train: DataFrame, shards: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             kinds, ids, raw = [], [], []
             for kind, parts in held.items():
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                at = shard_of(keys, shards)
-                order = np.argsort(at, kind="stable")
-                keys, counts, at = keys[order], counts[order], at[order]
-                edge = np.searchsorted(at, np.arange(shards + 1))
-                put = pack_tokens if kind == 1 else pack
+                every = np.concatenate(parts)
+                if kind == 1:
+                    keys, counts = np.unique(every, return_counts=True)
+                    at = shard_of(keys, shards)
+                    order = np.argsort(at, kind="stable")
+                    keys, counts, edge = keys[order], counts[order], np.searchsorted(at[order], np.arange(shards + 1))
+                    put = pack_tokens
+                else:
+                    keys, counts = np.unique(compact(every, shards), return_counts=True)
+                    keys, edge, put = keys & LOW, shard_edges(keys, shards), pack
                 for s in range(shards):
                     if edge[s] < edge[s + 1]:
                         kinds.append(kind), ids.append(s), raw.append(put(keys[edge[s] : edge[s + 1]], counts[edge[s] : edge[s + 1]]))
@@ -262,12 +289,10 @@ def run_scores(ids: np.ndarray, edge: np.ndarray, c: np.ndarray, m: dict, levels
 
 
 def block_pairs(texts: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different pairs of a block's texts by shard and key, and where each shard begins; the last edge is the end."""
-    parts = [np.unique(pair_keys(shifted(ids, edge, START), ids)) for ids, edge in token_runs(texts)]
+    """The different pairs of a block's texts, compact and sorted, and where each shard begins; the last edge is the end."""
+    parts = [np.unique(compact(pair_keys(shifted(ids, edge, START), ids), shards)) for ids, edge in token_runs(texts)]
     keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-    at = shard_of(keys, shards)
-    order = np.argsort(at, kind="stable")
-    return keys[order], np.searchsorted(at[order], np.arange(shards + 1))
+    return keys, shard_edges(keys, shards)
 
 
 def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -291,7 +316,7 @@ def asked_pairs(rows: DataFrame, shards: int) -> DataFrame:
         def asked(block: int, texts: list[pa.Array]) -> pa.RecordBatch:
             keys, edge = block_pairs(pa.concat_arrays(texts), shards)
             use = [s for s in range(shards) if edge[s] < edge[s + 1]]
-            raw = [low_bytes(keys[edge[s] : edge[s + 1]]) for s in use]
+            raw = [pack_keys(keys[edge[s] : edge[s + 1]] & LOW) for s in use]
             return pa.RecordBatch.from_arrays([pa.array([block] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(raw, pa.binary())], ["block", "shard", "keys"])
 
         now, texts = None, []
@@ -309,12 +334,27 @@ def asked_pairs(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
+    """(block, rows): the rows of each block as one compressed Arrow stream."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+        now, held = None, []
         for number, b in blocked(batches):
-            block = pa.array([(b.column("part")[0].as_py() << 32) + number] * b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, block], [*b.schema.names, "block"])
+            block = (b.column("part")[0].as_py() << 32) + number
+            if held and block != now:
+                yield given(now, held)
+                held = []
+            now = block
+            held.append(b)
+        if held:
+            yield given(now, held)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("block", LongType())])).drop("part")
+    return rows.mapInArrow(run, "block long, rows binary")
 
 
 def looked_up(asked: DataFrame, model: Model) -> DataFrame:
@@ -323,11 +363,12 @@ def looked_up(asked: DataFrame, model: Model) -> DataFrame:
 
     def answer(asked: pa.Table, region: pa.Table) -> pa.Table:
         raw = asked.column("keys").to_pylist()
-        keys = low_keys(b"".join(raw))
+        each = [all_keys(x) for x in raw]
+        keys = np.concatenate(each)
         bits = region.column("bits").to_pylist()
         filter_ = np.frombuffer(bits[0], np.uint8) if bits else np.zeros(0, np.uint8)
         q = probe(filter_, np.array([0, len(filter_)]), np.zeros(len(keys), np.int64), keys).astype(np.uint8).tobytes()
-        edge = np.cumsum([0, *(len(x) * 8 // KEY_BITS for x in raw)])
+        edge = np.cumsum([0, *map(len, each)])
         out = [q[i:k] for i, k in zip(edge[:-1], edge[1:], strict=True)]
         return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary()), pa.array([xxhash.xxh32_intdigest(x) for x in raw], pa.int64())], ["block", "shard", "q", "check"])
 
@@ -403,20 +444,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         parted = rows.withColumn("part", F.spark_partition_id().cast("long"))
 
         def run_block(t: pa.Table, answers: pa.Table) -> pa.Table:
-            keys, edge = block_pairs(t.column("text").combine_chunks(), m["shards"])
+            own = pa.ipc.open_stream(t.column("rows")[0].as_buffer()).read_all().combine_chunks()
+            keys, edge = block_pairs(own.column("text").combine_chunks(), m["shards"])
             q, met = np.zeros(len(keys), np.uint8), 0
             for s, raw, check in zip(*(answers.column(c).to_pylist() for c in ("shard", "q", "check")), strict=True):
-                if check != xxhash.xxh32_intdigest(low_bytes(keys[edge[s] : edge[s + 1]])):
+                if check != xxhash.xxh32_intdigest(pack_keys(keys[edge[s] : edge[s + 1]] & LOW)):
                     raise RuntimeError("the documents came in another order: checkpoint them first")
                 q[edge[s] : edge[s + 1]] = np.frombuffer(raw, np.uint8)
                 met += len(raw)
-            if met != len(keys):
+            if len(t) != 1 or met != len(keys):
                 raise RuntimeError("the documents came in another order: checkpoint them first")
-            order = np.argsort(keys)
-            keys, q = keys[order], q[order].astype(np.int64)
-            levels = lambda own_keys: q[np.searchsorted(keys, own_keys)]
-            batches = t.combine_chunks().to_batches()
-            return pa.Table.from_batches([emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)]) for b in batches])
+            levels = lambda own_keys: q[np.searchsorted(keys, compact(own_keys, m["shards"]))].astype(np.int64)
+            return pa.Table.from_batches([emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)]) for b in own.to_batches()])
 
         answers = looked_up(asked_pairs(parted, m["shards"]), model)
         out = in_blocks(parted).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run_block, OUT)
