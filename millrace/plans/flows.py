@@ -111,6 +111,17 @@ def searched(s: SparkSession, d: str, fails: bool = False) -> tables.Catalog:
     return _once(s, d, f"searched {fails}", make)
 
 
+def begun(s: SparkSession, d: str) -> tables.Catalog:
+    """What a run over the first LIMIT files leaves, to be read; run 1."""
+
+    def make() -> tables.Catalog:
+        c = filled(s, d)
+        engine(s, d, c).start(manifest.parse(SOURCE), limit=LIMIT)
+        return c
+
+    return _once(s, d, "begun", make)
+
+
 def engine(s: SparkSession, d: str, c: tables.Catalog, fails: bool = False) -> search.Engine:
     texts = files(s, d).select("rel_path", "text")
     return search.Engine(c, lambda: StandIn(fails), lambda f: text.plain_sentences(f.join(texts, "rel_path", "left")).drop("text"), concurrency=8)
@@ -177,9 +188,7 @@ def q_engine_enqueue(s, d):
 
 def q_engine_work(s, d):
     """Unfinished files by path, the first ones, after a run over some."""
-    c = filled(s, d)
-    run = engine(s, d, c).start(manifest.parse(SOURCE), limit=LIMIT).run_id
-    return search.iter_work(c, run, 25).select("rel_path", "status")
+    return search.iter_work(begun(s, d), 1, 25).select("rel_path", "status")
 
 
 def q_engine_refresh(s, d):
@@ -191,12 +200,9 @@ def q_engine_refresh(s, d):
 
 def q_engine_not_yet_done(s, d):
     """Chunks that a run over some files leaves open: the chunk plan without the ledger."""
-    c = filled(s, d)
-    loaded = manifest.parse(SOURCE)
-    e = engine(s, d, c)
-    run = e.start(loaded, limit=LIMIT).run_id
-    todo = search.select_files(c.read("subtitle_files").join(search.pending(c, run).select("file_id"), "file_id", "left_semi"), c.read("titles"), loaded.manifest.select)
-    return search.chunk_plan(e.sentences(todo), loaded.manifest).select("rel_path", "chunk_index", "kept", F.coalesce(F.length("prompt"), F.lit(-1)).cast("long").alias("n"))
+    c, loaded = begun(s, d), manifest.parse(SOURCE)
+    todo = search.select_files(c.read("subtitle_files").join(search.pending(c, 1).select("file_id"), "file_id", "left_semi"), c.read("titles"), loaded.manifest.select)
+    return search.chunk_plan(engine(s, d, c).sentences(todo), loaded.manifest).select("rel_path", "chunk_index", "kept", F.coalesce(F.length("prompt"), F.lit(-1)).cast("long").alias("n"))
 
 
 def q_runs(s, d):

@@ -278,7 +278,7 @@ def shelf(spark, tmp_path):
 ONE = "name: n\nmodel: m\nselect: {exclude_adult: false}\nprompt: {user: '{{ chunk }}'}\noutput: {schema: {type: object, properties: {matched: {type: boolean}}}}\nmatch_when: matched\n"
 
 
-@pytest.mark.parametrize("wave", [1, 2, 2000])
+@pytest.mark.parametrize("wave", [1, 2])
 def test_failing_file_starves_none(shelf, wave):
     """Every chunk is called once a run, the failing one too; a resumed run calls the failing one alone."""
     c, calls, sentences = shelf
@@ -297,11 +297,9 @@ def test_waves_stop_in_time(shelf):
     e = search.Engine(c, lambda: Counting(calls, wait=0.4), sentences, concurrency=1, wave_seconds=0.5)
     e.request_stop()
     assert e.start(manifest.parse(ONE)) == search.Outcome(1, 0, 0, 0, 0, True) and not list(calls.iterdir())
-    timer = threading.Timer(0.1, e.request_stop)
     at = e._pass
     e._pass = lambda *a: (at(*a), e.request_stop())[0]
     out = e.resume(1)
-    timer.cancel()
     assert out.interrupted and 0 < out.chunks_done < 6 and out.chunks_done == len(list(calls.iterdir()))
     e._pass = at
     assert e.resume(1).chunks_done == 6 == len(list(calls.iterdir()))
