@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_bucket_col, table
+from millrace.llm.common import crc_bucket_col, cut, table
 
 #: Characters of text that a language is learned from, and all languages together, which bounds the broadcast; the first documents
 #: in the order of a hash, so the same at any size.
@@ -34,6 +34,8 @@ SAMPLE_CHARS, TOTAL_CHARS = 50_000, 400_000
 #: So many times that sample is drawn by hash before it is cut.
 MARGIN = 4
 MODULUS, HELD = 4, 2
+#: Values of lang up to which their shares of the sample are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_LANGS = 10_000
 PIECE = 512
 #: Characters that are parsed at a time.
 SLICE = 1 << 20
@@ -216,7 +218,8 @@ def learn(docs: DataFrame) -> dict[str, str]:
     keyed = own.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)).alias("h"), F.col("text").cast("string").alias("text"))
     # so many of the hashes as hold some times the sample: only their texts are shuffled
     per = keyed.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    share = per.select("lang", F.least(F.lit(1.0), F.lit(float(MARGIN * SAMPLE_CHARS)) / F.greatest("chars", F.lit(1))).alias("share"))
+    share = cut(per.select("lang", F.least(F.lit(1.0), F.lit(float(MARGIN * SAMPLE_CHARS)) / F.greatest("chars", F.lit(1))).alias("share")))
+    share = F.broadcast(share) if share.count() <= MOST_BROADCAST_LANGS else share  # else all texts would be shuffled to meet it
     drawn = keyed.join(share, "lang").where(F.col("h") <= F.col("share") * F.lit(2.0**64) - F.lit(2.0**63)).select("lang", "h", F.substring("text", 1, 2 * SAMPLE_CHARS).alias("text"))
     before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = drawn.withColumn("before", before).where(F.col("before") < 2 * SAMPLE_CHARS).select("lang", "h", "text").collect()
