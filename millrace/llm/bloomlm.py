@@ -10,6 +10,11 @@ broadcast; the regions of a larger one stay distributed, and the pairs of blocks
 shuffle on shard and come back as levels.  Both ways give the same.  The bound is
 low, since each task's worker holds a copy.
 
+Where the documents that are scored are those learned from (learned_scores, which the query takes), the pairs travel once at any
+size: a block's pairs go to their shard with their counts in the block's training texts, and the shard's reducer fills its
+region from them and answers from it.  So no pair is shuffled both to be counted and to be looked up, and no region leaves its
+reducer.  Scores are those of score(docs, learn(docs)).
+
 Probability of w after v, pairs backed by unigrams: lam * c(v, w) / c(v) + (1 - lam) * p(w), with
 lam = c(v) / (c(v) + SMOOTH) * MOST, c(v, w) the lower end of its quantised class, 2^(q - 1), so never above the true count,
 and p(w) = (c(w) + 1) / (N + V + 1).  As the true counts of all w after v add up to c(v), the probabilities after v, that
@@ -27,6 +32,7 @@ or a checkpoint does, anything else is checkpointed first, and a block that came
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,10 +40,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, crc_bucket, cut, mixed, table, text_runs, word_hashes
+from millrace.llm.common import M1, M2, crc_bucket, crc_bucket_col, cut, mixed, table, text_runs, word_hashes
 
 MODULUS, HELD = 7, 2
 FILTER_BYTES, BITS_PER_ITEM, PROBES = 8 << 20, 12, 4
@@ -51,6 +57,8 @@ BLOCK_BYTES = 8 << 20
 #: Of a pair's key, the part that tells it from others of its shard; the bits above choose the shard.
 KEY_BITS = 40
 LOW = np.uint64((1 << KEY_BITS) - 1)
+#: Training tokens of a shard at most, about, where shards are chosen after tokens are counted.
+SHARD_TOKENS = 1_500_000
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -121,13 +129,25 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a, b]), counts
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte each, and more for large ones."""
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes(), 1)
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<u8", -1, n)
+    return counts
+
+
 def pack_tokens(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return keys.astype("<u8").tobytes() + counts.astype("<i8").tobytes()
+    return np.array([len(keys)], "<u4").tobytes() + keys.astype("<u8").tobytes() + pack_counts(counts)
 
 
 def unpack_tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // 16
-    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u8", n, 4), unpack_counts(raw[4 + 8 * n :], n)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +166,12 @@ def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
 
 
-def gather_counts(train: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, payload): kind 1 tokens, 2 pairs; each payload is one task's summed counts of one shard."""
+def gather_counts(train: DataFrame, shards: int, pairs: bool = True) -> DataFrame:
+    """(kind, shard, payload): kind 1 tokens, 2 pairs where these are asked for; each payload is one task's summed counts of one
+    shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+        held: dict[int, list[np.ndarray]] = {1: [], 2: []} if pairs else {1: []}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -175,7 +196,8 @@ def gather_counts(train: DataFrame, shards: int) -> DataFrame:
         for b in batches:
             for ids, edge in token_runs(b.column("text")):
                 held[1].append(ids)
-                held[2].append(pair_keys(shifted(ids, edge, START), ids))
+                if pairs:
+                    held[2].append(pair_keys(shifted(ids, edge, START), ids))
                 size += len(ids)
                 if size >= FLUSH:
                     yield from flush()
@@ -226,21 +248,26 @@ def probe(filter_: np.ndarray, edge: np.ndarray, shard: np.ndarray, keys: np.nda
 
 class Model:
     """The learned model as the driver holds it: the filter (regions one after the other, and where each begins) and the token
-    counts only where their sizes are within bounds; regions (shard, bits) and table (token, count) are distributed."""
+    counts only where their sizes are within bounds; regions (shard, bits) and table (token, count) are distributed.  Without
+    regions, pairs are counted where they are looked up."""
 
-    def __init__(self, total: int, distinct: int, starts: int, shards: int, filter_: tuple[np.ndarray, np.ndarray] | None, regions: DataFrame, keys: np.ndarray | None, counts: np.ndarray | None, table_: DataFrame) -> None:
+    def __init__(self, total: int, distinct: int, starts: int, shards: int, filter_: tuple[np.ndarray, np.ndarray] | None, regions: DataFrame | None, keys: np.ndarray | None, counts: np.ndarray | None, table_: DataFrame) -> None:
         self.total, self.distinct, self.starts, self.shards = total, distinct, starts, shards
         self.filter, self.regions, self.keys, self.counts, self.table = filter_, regions, keys, counts, table_
 
 
-def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int = FILTER_BYTES) -> Model:
-    """Counts over all training documents, and the filter; filter_bytes: the largest that is broadcast."""
-    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % MODULUS
-    train = docs.where(part != HELD)
+def in_training() -> Column:
+    return crc_bucket_col(F.col("doc_id"), MODULUS) != HELD
+
+
+def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int = FILTER_BYTES, pairs: bool = True) -> Model:
+    """Counts over all training documents, and the filter; filter_bytes: the largest that is broadcast; pairs: whether they are
+    counted here, or where score looks up those of the same documents."""
+    train = docs.where(in_training())
     starts = train.count()
     # so many shards that one holds some million pairs at any corpus size
     shards = 1 << max(5, int(starts // 4000).bit_length())
-    gathered = gather_counts(train, shards)
+    gathered = gather_counts(train, shards, pairs)
 
     def reduce_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
@@ -253,9 +280,11 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int
     counted = cut(gathered.groupBy("kind", "shard").applyInPandas(reduce_shard, schema))
     tokens, regions = counted.where("kind = 1"), counted.where("kind = 2").select("shard", F.col("payload").alias("bits"))
     total, distinct = tokens.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    size = counted.where("kind = 2").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     whole = None
-    if size <= filter_bytes:
+    if not pairs:
+        regions = None
+        shards = max(shards, 1 << int(total // SHARD_TOKENS).bit_length())
+    elif counted.where("kind = 2").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] <= filter_bytes:
         parts = {shard: np.frombuffer(raw, np.uint8) for shard, raw in regions.toLocalIterator()}
         every = [parts.get(k, np.zeros(0, np.uint8)) for k in range(shards)]
         whole = np.concatenate(every), np.cumsum([0, *map(len, every)])
@@ -295,6 +324,18 @@ def block_pairs(texts: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, shard_edges(keys, shards)
 
 
+def block_counts(texts: pa.Array, train: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs and edges of block_pairs, and between them how often each pair occurs in the block's training texts."""
+    parts, at, held = [np.zeros(0, np.uint64)], 0, ~train.to_numpy(zero_copy_only=False)
+    for ids, edge in token_runs(texts):
+        apart = np.repeat(held[at : at + len(edge) - 1], np.diff(edge)).astype(np.uint64)
+        parts.append(compact(pair_keys(shifted(ids, edge, START), ids), shards) << np.uint64(1) | apart)
+        at += len(edge) - 1
+    coded, n = np.unique(np.concatenate(parts), return_counts=True)
+    keys, counts = summed(coded >> np.uint64(1), np.where(coded & np.uint64(1), 0, n))
+    return keys, counts, shard_edges(keys, shards)
+
+
 def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Rows of a partition with the number of the block that they belong to: the rows' places decide, so a second reading of
     the same partition gives the same blocks."""
@@ -310,27 +351,30 @@ def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 
 def asked_pairs(rows: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, keys): the different pairs of each block, by shard; rows have their partition's number in part."""
+    """(block, shard, keys, counts): the different pairs of each block, by shard, and how often they occur in its training texts;
+    rows have their partition's number in part, and whether they are learned from in train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def asked(block: int, texts: list[pa.Array]) -> pa.RecordBatch:
-            keys, edge = block_pairs(pa.concat_arrays(texts), shards)
+        def asked(block: int, texts: list[pa.Array], train: list[pa.Array]) -> pa.RecordBatch:
+            keys, counts, edge = block_counts(pa.concat_arrays(texts), pa.concat_arrays(train), shards)
             use = [s for s in range(shards) if edge[s] < edge[s + 1]]
             raw = [pack_keys(keys[edge[s] : edge[s + 1]] & LOW) for s in use]
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(raw, pa.binary())], ["block", "shard", "keys"])
+            n = [pack_counts(counts[edge[s] : edge[s + 1]]) for s in use]
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(raw, pa.binary()), pa.array(n, pa.binary())], ["block", "shard", "keys", "counts"])
 
-        now, texts = None, []
+        now, texts, train = None, [], []
         for number, b in blocked(batches):
             block = (b.column("part")[0].as_py() << 32) + number
             if texts and block != now:
-                yield asked(now, texts)
-                texts = []
+                yield asked(now, texts, train)
+                texts, train = [], []
             now = block
             texts.append(b.column("text"))
+            train.append(b.column("train"))
         if texts:
-            yield asked(now, texts)
+            yield asked(now, texts, train)
 
-    return rows.select("part", "text").mapInArrow(run, "block long, shard int, keys binary")
+    return rows.select("part", "text", "train").mapInArrow(run, "block long, shard int, keys binary, counts binary")
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -357,22 +401,37 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, rows binary")
 
 
+ANSWERS = "block long, shard int, q binary, check long"
+
+
+def answered(asked: pa.Table, filter_: np.ndarray) -> pa.Table:
+    """(block, shard, q, check): levels of each block's pairs in the shard, in the order of block_pairs, a byte each, and a hash of
+    the keys that were asked."""
+    raw = asked.column("keys").to_pylist()
+    q = []
+    for x in raw:
+        keys = all_keys(x)
+        q.append(zlib.compress(probe(filter_, np.array([0, len(filter_)]), np.zeros(len(keys), np.int64), keys).astype(np.uint8).tobytes(), 1))
+    return pa.table([asked.column("block"), asked.column("shard"), pa.array(q, pa.binary()), pa.array([xxhash.xxh32_intdigest(x) for x in raw], pa.int64())], ["block", "shard", "q", "check"])
+
+
 def looked_up(asked: DataFrame, model: Model) -> DataFrame:
-    """(block, shard, q, check): levels of the block's pairs in the shard, in the order of block_pairs, a byte each, and a hash
-    of the keys that were asked."""
+    """The answers of the model's regions, or of those of the pairs that are asked."""
 
     def answer(asked: pa.Table, region: pa.Table) -> pa.Table:
-        raw = asked.column("keys").to_pylist()
-        each = [all_keys(x) for x in raw]
-        keys = np.concatenate(each)
         bits = region.column("bits").to_pylist()
-        filter_ = np.frombuffer(bits[0], np.uint8) if bits else np.zeros(0, np.uint8)
-        q = probe(filter_, np.array([0, len(filter_)]), np.zeros(len(keys), np.int64), keys).astype(np.uint8).tobytes()
-        edge = np.cumsum([0, *map(len, each)])
-        out = [q[i:k] for i, k in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary()), pa.array([xxhash.xxh32_intdigest(x) for x in raw], pa.int64())], ["block", "shard", "q", "check"])
+        return answered(asked, np.frombuffer(bits[0], np.uint8) if bits else np.zeros(0, np.uint8))
+
+    def count_and_answer(asked: pa.Table) -> pa.Table:
+        each = [all_keys(x) for x in asked.column("keys").to_pylist()]
+        n = [unpack_counts(x, len(k)) for x, k in zip(asked.column("counts").to_pylist(), each, strict=True)]
+        seen = [x > 0 for x in n]
+        keys, counts = summed(np.concatenate([k[x] for k, x in zip(each, seen, strict=True)]), np.concatenate([k[x] for k, x in zip(n, seen, strict=True)]))
+        return answered(asked, fill(keys, counts))
 
-    return asked.groupBy("shard").cogroup(model.regions.groupBy("shard")).applyInArrow(answer, "block long, shard int, q binary, check long")
+    if model.regions is None:
+        return asked.groupBy("shard").applyInArrow(count_and_answer, ANSWERS)
+    return asked.drop("counts").groupBy("shard").cogroup(model.regions.groupBy("shard")).applyInArrow(answer, ANSWERS)
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -382,7 +441,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     m = {"total": model.total, "distinct": model.distinct, "starts": model.starts, "shards": model.shards}
-    own = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), in_training().alias("train"))
     if model.filter is None and "Exchange" in own._jdf.queryExecution().executedPlan().toString():
         own = cut(own)  # read twice, and what comes from a shuffle may come in another order
 
@@ -406,7 +465,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     else:
         # each document's different tokens meet their counts in a join, and come back beside the text's row
         named = own.withColumn("row", F.monotonically_increasing_id())
-        named = cut(named.select("row", "doc_id", "text"))
+        named = cut(named.select("row", "doc_id", "text", "train"))
 
         def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -418,7 +477,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         met = named.select("row", "text").mapInArrow(tokens_of, "row long, token long").join(model.table, "token")
         found = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("token", "count"))).alias("found"))  # one document's own
-        rows = named.join(found, "row", "left").select("doc_id", "text", "found")
+        rows = named.join(found, "row", "left").select("doc_id", "text", "train", "found")
         if model.filter is None:
             rows = cut(rows)  # read twice
 
@@ -450,18 +509,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for s, raw, check in zip(*(answers.column(c).to_pylist() for c in ("shard", "q", "check")), strict=True):
                 if check != xxhash.xxh32_intdigest(pack_keys(keys[edge[s] : edge[s + 1]] & LOW)):
                     raise RuntimeError("the documents came in another order: checkpoint them first")
-                q[edge[s] : edge[s + 1]] = np.frombuffer(raw, np.uint8)
-                met += len(raw)
+                q[edge[s] : edge[s + 1]] = np.frombuffer(zlib.decompress(raw), np.uint8)
+                met += edge[s + 1] - edge[s]
             if len(t) != 1 or met != len(keys):
                 raise RuntimeError("the documents came in another order: checkpoint them first")
             levels = lambda own_keys: q[np.searchsorted(keys, compact(own_keys, m["shards"]))].astype(np.int64)
             return pa.Table.from_batches([emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)]) for b in own.to_batches()])
 
         answers = looked_up(asked_pairs(parted, m["shards"]), model)
-        out = in_blocks(parted).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run_block, OUT)
+        out = in_blocks(parted.drop("train")).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run_block, OUT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def learned_scores(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """score(docs, learn(docs)), with pairs shuffled once."""
+    return score(docs, learn(docs, max_broadcast, pairs=False))
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, learn(docs))
+    return learned_scores(table(spark, sf_dir, "documents"))

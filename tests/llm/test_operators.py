@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -409,6 +410,25 @@ def test_lm_filter_beyond_broadcast(docs, empty, bounds):
     assert bloomlm.score(empty, bloomlm.learn(empty, filter_bytes=1)).count() == 0
 
 
+def test_lm_pairs_travel_once(docs, empty, spark, bounds):
+    """The query's way scores as learning and looking up apart do, and shuffles each block's pairs once, with their counts."""
+    flat = lambda d: sorted((str(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in d.collect())
+    want = flat(bloomlm.score(docs, bloomlm.learn(docs)))
+    for most, size in ((bloomlm.MAX_BROADCAST, 1 << 20), (1, 2000)):
+        bounds(bloomlm, BLOCK_BYTES=size)
+        m = bloomlm.learn(docs, most, pairs=False)
+        got = flat(bloomlm.learned_scores(docs, most))
+        assert m.regions is None and m.filter is None
+        assert [g[:5] for g in got] == [w[:5] for w in want] and all(g[5:] == pytest.approx(w[5:], rel=1e-12) for g, w in zip(got, want, strict=True))
+    assert bloomlm.learned_scores(empty).count() == 0
+    counts = np.array([0, 1, 254, 255, 256, 70000, 0])
+    assert np.array_equal(bloomlm.unpack_counts(bloomlm.pack_counts(counts), len(counts)), counts)
+    texts, train = pa.array(["a b a b", None, "a b", "c"]), pa.array([True, True, False, False])
+    keys, n, edge = bloomlm.block_counts(texts, train, 32)
+    same_keys, same_edge = bloomlm.block_pairs(texts, 32)
+    assert np.array_equal(keys, same_keys) and np.array_equal(edge, same_edge) and sorted(n.tolist()) == [0, 0, 1, 1, 1, 1, 2]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 64))
