@@ -6,9 +6,10 @@ probes the cells that come next nearest: in one block at a time, the other coset
 nearest walls.  Two vectors of one label meet where one's own cell is among the other's own and probed cells; all pairs
 that meet are verified by their cosine in double precision.
 
-The number of blocks and the scale follow from the largest label (SETTINGS), so that a cell holds as few unrelated vectors at any
-size; a pair of cosine 0.98 in 64 dimensions meets in 6 tables with probability 0.9999, 0.9995, 0.993 and 0.980 at the four
-settings, pairs of more with more.
+Tables, blocks and scale are the same at any size, so whether a pair meets follows from its two vectors alone: other vectors,
+however many, neither add nor take a link.  Two unrelated vectors share a cell with probability 1e-9, so that cells stay
+small in labels of hundreds of millions; a pair of cosine 0.98 in 64 dimensions meets with probability 0.9997, pairs of more
+with more.
 
 Equal vectors of a label are one class with a multiplicity, so copies cost nothing.  Cells with one entry are dropped
 before vectors move.  Cells with more than CELL entries are dealt out as pairs of blocks of entries, so any cell is
@@ -36,11 +37,13 @@ from pyspark.sql import functions as F
 from millrace.llm.common import components, cut, hot_join, table
 
 THRESHOLD = 0.98
-TABLES, PROBES, SEED = 6, 3, 8
-#: (vectors of the largest label up to which it holds, blocks, scale): two unrelated vectors share a cell with probability
-#: 1.8e-4, 5e-6, 1e-7 and 1e-9.
-SETTINGS = ((1_000, 1, 0.45), (100_000, 2, 0.45), (5_000_000, 2, 0.35), (1 << 62, 3, 0.35))
+TABLES, PROBES, SEED = 12, 3, 8
+#: (vectors of a label up to which it holds, blocks, scale): one for all sizes.
+SETTINGS = ((1 << 62, 3, 0.35),)
+SETTING = SETTINGS[0][1:]
 CELL = 2048
+#: Pairs whose cosines or cells a task compares at a time, and pairs that it holds before it counts them.
+PART, HELD = 1 << 15, 1 << 18
 #: Bytes of vectors that a verifying task holds at a time, about.
 BIN_BYTES = 8 << 20
 TOLERANCE = 1e-12
@@ -64,10 +67,6 @@ def nearest_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(near, a, b), np.where(near, b, a)
 
 
-def setting_for(largest: int) -> tuple[int, float]:
-    return next((blocks, scale) for most, blocks, scale in SETTINGS if largest <= most)
-
-
 @lru_cache(maxsize=8)
 def projections(dim: int, blocks: int, scale: float) -> np.ndarray:
     rng = np.random.default_rng([SEED, dim])
@@ -135,15 +134,14 @@ def classes(vectors: DataFrame) -> DataFrame:
 
 def links(cls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cls, n_links): vectors of other classes linked to each; and (a, b): edges between classes that span them."""
-    keyed = cls.select("cls", "label", "v", "n", F.size("v").alias("dim"))
-    setting = setting_for(cls.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    keyed = cls.select("cls", "label", "v", "n", F.size("v").alias("dim"), F.xxhash64("v").alias("same"))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pdf = b.to_pandas()
             for _, g in pdf.groupby("dim"):
                 u = units(g["v"].tolist())
-                c = cells(u, g["label"].to_numpy(), setting)
+                c = cells(u, g["label"].to_numpy(), SETTING)
                 flat = c.reshape(len(g), -1)
                 first = np.ones_like(flat, bool)  # a probed cell may equal another
                 for k in range(1, flat.shape[1]):
@@ -165,48 +163,32 @@ def links(cls: DataFrame) -> tuple[DataFrame, DataFrame]:
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         found: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
-        for _, g in pdf.groupby(["cell", "lo", "hi", "dim"], sort=False):
-            if len(g) < 2:
-                continue
-            g = g.sort_values("cls")
-            ids, mult, block = g["cls"].to_numpy(), g["n"].to_numpy(), g["k"].to_numpy()
-            lo, hi, cell = g["lo"].iloc[0], g["hi"].iloc[0], g["cell"].iloc[0]
-            u = units(g["v"].tolist())
-            label = g["label"].to_numpy()
-            left = np.flatnonzero(block == lo)
-            right = left if lo == hi else np.flatnonzero(block == hi)
-            pairs = []
-            for s in range(0, len(left), 512):
-                part = left[s : s + 512]
-                i, j = np.nonzero(u[part] @ u[right].T >= THRESHOLD - TOLERANCE)
-                i, j = part[i], right[j]
-                keep = (i < j) if lo == hi else (i != j)
-                pairs.append(np.stack([i[keep], j[keep]]))
-            p = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-            if not p.shape[1]:
-                continue
-            i, j = np.minimum(p[0], p[1]), np.maximum(p[0], p[1])
-            sure = np.einsum("ij,ij->i", u[i], u[j]) >= THRESHOLD
-            i, j = i[sure], j[sure]
-            used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-            c = cells(u[used], label[used], setting)
-            i2, j2 = back[: len(i)], back[len(i) :]
-            counted = np.zeros(len(i), bool)
-            for s in range(0, len(i), 65536):
-                a, b = c[i2[s : s + 65536]], c[j2[s : s + 65536]]
-                by_a = (a[:, :, :1] == b).any(axis=2)  # a's own cell is one of b's
-                by_b = (b[:, :, :1] == a).any(axis=2)
-                hit = by_a | by_b
-                t = hit.argmax(axis=1)
-                r = np.arange(len(a))
-                at = np.where(by_a[r, t], a[r, t, 0], b[r, t, 0])
-                counted[s : s + 65536] = hit.any(axis=1) & (at == cell)
-            i, j = i[counted], j[counted]
-            if len(i):
-                got = np.bincount(i, mult[j], len(ids)) + np.bincount(j, mult[i], len(ids))
-                for k in np.flatnonzero(got):
-                    found[int(ids[k])] = found.get(int(ids[k]), 0) + int(got[k])
-                edges += spanning(ids, i, j)
+        for _, d in pdf.groupby("dim", sort=False):
+            order = np.lexsort((d["same"], d["cls"]))  # classes of one least id are told apart
+            new = np.r_[True, np.diff(d["cls"].to_numpy()[order]) | np.diff(d["same"].to_numpy()[order]) != 0]
+            row, at = order[new], np.empty(len(order), np.int64)
+            at[order] = np.cumsum(new) - 1
+            ids = d["cls"].to_numpy()[row]
+            mult, label, u = d["n"].to_numpy()[row], d["label"].to_numpy()[row], units(d["v"].iloc[row].tolist())
+            held: list[tuple[np.ndarray, ...]] = []
+            size = 0
+            for (cell, lo, hi), g in d[["cell", "lo", "hi", "k"]].assign(at=at).groupby(["cell", "lo", "hi"], sort=False):
+                left, right = (np.unique(g["at"].to_numpy()[g["k"].to_numpy() == x]) for x in (lo, hi))
+                step = max(1, PART // max(1, len(right)))
+                for s in range(0, len(left), step):
+                    i, j = np.nonzero(u[left[s : s + step]] @ u[right].T >= THRESHOLD - TOLERANCE)
+                    i, j = left[s + i], right[j]
+                    keep = (i < j) if lo == hi else (i != j)
+                    i, j = i[keep], j[keep]
+                    sure = np.einsum("ij,ij->i", u[i], u[j]) >= THRESHOLD
+                    if sure.any():
+                        held.append((np.minimum(i, j)[sure], np.maximum(i, j)[sure], np.full(int(sure.sum()), cell)))
+                        size += len(held[-1][0])
+                    if size >= HELD:
+                        edges += counted(ids, mult, label, u, held, found)
+                        held, size = [], 0
+            if held:
+                edges += counted(ids, mult, label, u, held, found)
         n = len(found)
         out = {"cls": [*found, *(a for a, _ in edges)], "n_links": [*found.values(), *[0] * len(edges)], "root": [*[None] * n, *(b for _, b in edges)]}
         return pd.DataFrame(out).astype({"cls": "int64", "n_links": "int64"}).assign(root=pd.array(out["root"], "Int64"))
@@ -215,6 +197,30 @@ def links(cls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.where("root is null").groupBy("cls").agg(F.sum("n_links").alias("n_links")), out.where("root is not null").select(F.col("cls").alias("a"), F.col("root").alias("b"))
 
 
+def counted(ids: np.ndarray, mult: np.ndarray, label: np.ndarray, u: np.ndarray, held: list[tuple[np.ndarray, ...]], found: dict[int, int]) -> list[tuple[int, int]]:
+    """Adds to found the links of pairs that meet first in the cell where they were found, and returns links that span them."""
+    i, j, cell = (np.concatenate(x) for x in zip(*held, strict=True))
+    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = back[: len(i)], back[len(i) :]
+    c = cells(u[used], label[used], SETTING)
+    here = np.zeros(len(i), bool)
+    for s in range(0, len(i), PART):
+        live = np.arange(s, min(s + PART, len(i)))
+        for t in range(TABLES):
+            a, b = c[i[live], t], c[j[live], t]
+            by_a = (a[:, :1] == b).any(axis=1)  # a's own cell is one of b's
+            met = by_a | (b[:, :1] == a).any(axis=1)
+            here[live] = met & (np.where(by_a, a[:, 0], b[:, 0]) == cell[live])
+            live = live[~met]
+            if not len(live):
+                break
+    i, j, ids, mult = i[here], j[here], ids[used], mult[used]
+    got = np.bincount(i, mult[j], len(ids)) + np.bincount(j, mult[i], len(ids))
+    for k in np.flatnonzero(got):
+        found[int(ids[k])] = found.get(int(ids[k]), 0) + int(got[k])
+    return spanning(ids, i, j)
+
+
 def spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     """Links from each linked vector to the least one that it reaches within the task."""
     low = np.arange(len(ids))

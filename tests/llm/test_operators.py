@@ -470,6 +470,20 @@ def test_lattice_recall(setting):
         assert apart.mean() < 0.02
 
 
+def test_links_at_any_size(spark):
+    """Pairs of hardly 0.98 are linked, and other vectors of the label, few or many, change no link."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, z = unit(rng.standard_normal((6000, 64))), rng.standard_normal((6000, 64))
+    b = 0.98002 * a + np.sqrt(1 - 0.98002**2) * unit(z - (z * a).sum(1, keepdims=True) * a)
+    pairs = [(2 * i + side, v[k].tolist(), 1) for i, k in enumerate((5178, 5760, *range(30))) for side, v in enumerate((a, b))]
+    others = [(1000 + i, v.tolist(), 1) for i, v in enumerate(a[100:1200])]
+    links = lambda rows: {x.vec_id: (x.n_links, x.component_id) for x in e8dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    few, many = links(pairs), links(pairs + others)
+    assert few == {i: (1, i // 2 * 2) for i in range(64)} == {i: x for i, x in many.items() if i < 1000}
+    assert all(x == (0, i) for i, x in many.items() if i >= 1000)
+
+
 def test_embedding_magnitudes_and_copies(spark, bounds):
     """Components of any magnitude, repeated ids, a vector that most rows repeat, cells beyond CELL, many small bins."""
     bounds(common, HOT_ROWS=20)
