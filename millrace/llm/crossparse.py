@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_bucket_col, cut, table
+from millrace.llm.common import crc_bucket_col, cut, lean, table
 
 #: Characters of text that a language is learned from, and all languages together, which bounds the broadcast; the first documents
 #: in the order of a hash, so the same at any size.
@@ -256,7 +256,7 @@ def predict(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
                 cols = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(got)), *[pa.array(x, k) for x, k in zip(cols, (pa.string(), pa.float64(), pa.float64()), strict=True)]], ["doc_id", "lang_pred", "score", "phrase_rate"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id long, lang_pred string, score double, phrase_rate double")
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, phrase_rate double")
 
 
 def filter_documents(docs: DataFrame, langs: tuple[str, ...] | None = None, least_score: float = 0.005) -> DataFrame:
@@ -271,7 +271,7 @@ def filter_documents(docs: DataFrame, langs: tuple[str, ...] | None = None, leas
                 keep = [p != "und" and (p in langs if langs else s >= least_score or s == 0) for p, s, _ in got]
                 yield b.slice(begin, len(got)).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M2, components, cut, hot_join, mixed, table, text_runs, word_hashes
+from millrace.llm.common import M2, components, cut, hot_join, lean, mixed, table, text_runs, word_hashes
 
 WIDTH, PERCENT = 5, 75
 SKETCH, SKETCH_PARTS = 1 << 20, 16
@@ -49,6 +49,8 @@ LIST = 48
 PARITY = 512
 #: Shingles that a task holds before it passes them on, and pairs that a reducer counts at a time.
 FLUSH, RUN = 1_000_000, 2_000_000
+#: Pairs that a reducer gives at a time: the JVM holds each such batch beside its heap.
+BATCH = 1 << 16
 #: Bytes of a class's name.
 NAME = 10
 #: Bits of the filter for each named class, and of a filter at most; more classes are fetched in several passes.
@@ -113,7 +115,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
             k = len(parts)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(k, pa.string()) for _ in extra)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls binary, part int, salt int, payload binary" + "".join(f", {x} string" for x in extra))
+    return docs.mapInArrow(lean(run), "doc_id long, n long, cls binary, part int, salt int, payload binary" + "".join(f", {x} string" for x in extra))
 
 
 def sketch_of(rows: DataFrame) -> np.ndarray:
@@ -204,7 +206,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, shards: int) -> DataFrame:
         if own:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "shard int, payload binary")
+    return docs.select("text").mapInArrow(lean(run), "shard int, payload binary")
 
 
 def read_posting(raw: bytes) -> tuple[np.ndarray, ...]:
@@ -264,13 +266,15 @@ def reduce_shard(shard: int, shards: int, payloads: list[bytes]) -> Iterator[pa.
         np.add.at(weight, owner[x], 256.0 - place[x])
     in_long = weight > 0
 
-    def counted(parts: list[np.ndarray], led: int) -> pa.RecordBatch:
+    def counted(parts: list[np.ndarray], led: int) -> Iterator[pa.RecordBatch]:
         code, shared = np.unique(np.concatenate(parts), return_counts=True)
         a, b = code // k, code % k
         fits = (a != b) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
         a, b, shared = a[fits], b[fits], shared[fits]
         shared = shared + np.where(in_long[a] | in_long[b], MOST_MATCHES, 0)  # long lists leave open how many more there are
-        return named_batch(uniq, None, a, b, n[a], n[b], np.minimum(l[a], l[b]), shared, np.full(len(a), led))
+        for at in range(0, len(a), BATCH):
+            x, y, both = a[at : at + BATCH], b[at : at + BATCH], shared[at : at + BATCH]
+            yield named_batch(uniq, None, x, y, n[x], n[y], np.minimum(l[x], l[y]), both, np.full(len(x), led))
 
     parts, held = [], 0
     for m in range(2, LIST + 1):
@@ -283,10 +287,10 @@ def reduce_shard(shard: int, shards: int, payloads: list[bytes]) -> Iterator[pa.
             parts.append(np.minimum(a, b) * k + np.maximum(a, b))
             held += len(a)
             if held >= RUN:
-                yield counted(parts, 0)
+                yield from counted(parts, 0)
                 parts, held = [], 0
     if parts:
-        yield counted(parts, 0)
+        yield from counted(parts, 0)
     parts, held = [], 0
     for x in spans:
         own, at = owner[x].astype(np.int64), place[x]
@@ -296,10 +300,10 @@ def reduce_shard(shard: int, shards: int, payloads: list[bytes]) -> Iterator[pa.
         token = np.full(len(own), (int(flat[x.start]) * shards + shard) & (1 << 63) - 1, np.int64)
         yield named_batch(uniq, token, own, None, n[own], np.zeros(len(own), np.int64), l[own], np.zeros(len(own), np.int64), at)
         if held >= RUN:
-            yield counted(parts, 1)
+            yield from counted(parts, 1)
             parts, held = [], 0
     if parts:
-        yield counted(parts, 1)
+        yield from counted(parts, 1)
 
 
 def reduced(posted: DataFrame, shards: int) -> DataFrame:
@@ -317,7 +321,7 @@ def reduced(posted: DataFrame, shards: int) -> DataFrame:
         if payloads:
             yield from reduce_shard(shard, shards, payloads)
 
-    return posted.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, PAIRS)
+    return posted.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(run), PAIRS)
 
 
 def bloom_of(names: DataFrame, bits: int) -> np.ndarray:
@@ -333,7 +337,7 @@ def bloom_of(names: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for (raw,) in names.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+    for (raw,) in names.coalesce(16).mapInArrow(lean(run), "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(raw), np.uint8)
     return out
 
@@ -371,7 +375,7 @@ def sets_of(docs: DataFrame, names: DataFrame, form: Callable[[np.ndarray], byte
                                 cls, sets, size = [], [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "s"])
 
-        return docs.select("text").mapInArrow(run, "cls binary, s binary")
+        return docs.select("text").mapInArrow(lean(run), "cls binary, s binary")
 
     every = [fetched(names if passes == 1 else names.where(F.pmod(F.crc32("cls"), F.lit(passes)) == i)) for i in range(passes)]
     return reduce(DataFrame.union, every).groupBy("cls").agg(F.first("s").alias("s"))  # equal for one class
@@ -391,7 +395,7 @@ def parities(docs: DataFrame, names: DataFrame) -> DataFrame:
             bits = [np.frombuffer(x, np.int64).tolist() for x in b.column("s").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(bits, pa.list_(pa.int64()))], ["cls", "bits"])
 
-    return sets_of(docs, names, parity).mapInArrow(run, "cls binary, bits array<long>")
+    return sets_of(docs, names, parity).mapInArrow(lean(run), "cls binary, bits array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -423,7 +427,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([lead, cls], ["lead", "cls"]).filter(pa.array(ok))
 
     met = rows.repartition("lead", "g").sortWithinPartitions("lead", "g", F.col("cls").asc_nulls_first())
-    return met.mapInArrow(run, "lead binary, cls binary").select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b"))
+    return met.mapInArrow(lean(run), "lead binary, cls binary").select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b"))
 
 
 def shared_size(p: np.ndarray, q: np.ndarray) -> int:

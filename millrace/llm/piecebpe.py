@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import table
+from millrace.llm.common import lean, table
 
 BOS, EOS, MARK = 1, 2, "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]*")
@@ -241,7 +241,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))), pa.array(model.decode(ids, n), pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").mapInArrow(lean(run), f"id {kind}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -260,7 +260,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

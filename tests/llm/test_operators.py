@@ -308,6 +308,32 @@ def test_hot_join(spark, bounds):
         assert sorted(map(str, common.hot_join(left, right, "k", how).select("k", "id", "v").collect())) == sorted(map(str, left.join(right, "k", how).select("k", "id", "v").collect()))
 
 
+def test_ngram_join_batches(docs, monkeypatch):
+    """A reducer's pairs come in small batches, and are the same."""
+    payloads = [r.payload for r in ngramjoin.postings(docs.select("text"), np.zeros(ngramjoin.SKETCH, np.uint32), 1).collect()]
+    whole = list(ngramjoin.reduce_shard(0, 1, payloads))
+    monkeypatch.setattr(ngramjoin, "BATCH", 7)
+    some = list(ngramjoin.reduce_shard(0, 1, payloads))
+    rows = lambda got: sorted(map(str, pa.Table.from_batches(got).to_pylist()))
+    assert rows(some) == rows(whole) and max(b.num_rows for b in whole if b.column("b").null_count == 0) > 7 >= max(b.num_rows for b in some if b.column("b").null_count == 0)
+
+
+def test_lean():
+    """A worker keeps no freed memory after a task."""
+    size = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    kept = []
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(2000)]  # 96 KB each: too small to be mapped apart
+        kept.append(np.ones(12_000))
+        yield len(held)
+
+    common.give_back()
+    before = size()
+    assert list(run(iter(()))) == [2000] and size() - before > 100
+    assert list(common.lean(run)(iter(()))) == [2000] and size() - before < 50
+
+
 def test_one_of_each_by_rows(spark):
     """Null and repeated ids of different texts are different documents; only near or exact copies go."""
     text = lambda k: " ".join(f"{k}{i}" for i in range(20))
