@@ -21,13 +21,13 @@ and p(w) = (c(w) + 1) / (N + V + 1).  As the true counts of all w after v add up
 of one unknown word included, add up to 1 at most, and, as no class is wider than a factor of 2, to 1 - lam / 2 at least
 (the filter's false positives aside).
 
-Unigram counts of up to MAX_BROADCAST different tokens are broadcast; beyond that size the tokens of each document are
-joined with their counts by a shuffle.  Both ways give the same.
+Unigram counts of up to MAX_BROADCAST different tokens are broadcast; beyond that size the different tokens of each block go
+to the counts of their shard, by the same shuffle as the pairs, and come back as counts.  Both ways give the same.
 
 Cases: a null text is empty and scores its end token; documents are told apart by their rows, not their ids; a null id
 hashes as the text 'null'; empty tables give no rows; texts of any length are read whole; no column but doc_id and
-text is read.  The documents are read twice where the filter is not broadcast, and must come in the same order: a scan
-or a checkpoint does, anything else is checkpointed first, and a block that came otherwise is found out and fails.
+text is read.  The documents are read twice where the filter or the counts are not broadcast, and must come in the same
+order: a scan or a checkpoint does, anything else is checkpointed first, and a block that came otherwise is found out and fails.
 """
 
 from __future__ import annotations
@@ -248,12 +248,12 @@ def probe(filter_: np.ndarray, edge: np.ndarray, shard: np.ndarray, keys: np.nda
 
 class Model:
     """The learned model as the driver holds it: the filter (regions one after the other, and where each begins) and the token
-    counts only where their sizes are within bounds; regions (shard, bits) and table (token, count) are distributed.  Without
-    regions, pairs are counted where they are looked up."""
+    counts only where their sizes are within bounds; regions (shard, bits) and tokens (shard, bits), the counts of token_shards
+    shards, are distributed.  Without regions, pairs are counted where they are looked up."""
 
-    def __init__(self, total: int, distinct: int, starts: int, shards: int, filter_: tuple[np.ndarray, np.ndarray] | None, regions: DataFrame | None, keys: np.ndarray | None, counts: np.ndarray | None, table_: DataFrame) -> None:
+    def __init__(self, total: int, distinct: int, starts: int, shards: int, filter_: tuple[np.ndarray, np.ndarray] | None, regions: DataFrame | None, keys: np.ndarray | None, counts: np.ndarray | None, tokens: DataFrame, token_shards: int) -> None:
         self.total, self.distinct, self.starts, self.shards = total, distinct, starts, shards
-        self.filter, self.regions, self.keys, self.counts, self.table = filter_, regions, keys, counts, table_
+        self.filter, self.regions, self.keys, self.counts, self.tokens, self.token_shards = filter_, regions, keys, counts, tokens, token_shards
 
 
 def in_training() -> Column:
@@ -280,7 +280,7 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int
     counted = cut(gathered.groupBy("kind", "shard").applyInPandas(reduce_shard, schema))
     tokens, regions = counted.where("kind = 1"), counted.where("kind = 2").select("shard", F.col("payload").alias("bits"))
     total, distinct = tokens.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    whole = None
+    whole, token_shards = None, shards
     if not pairs:
         regions = None
         shards = max(shards, 1 << int(total // SHARD_TOKENS).bit_length())
@@ -295,13 +295,7 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST, filter_bytes: int
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column("payload").to_pylist():
-                k, c = unpack_tokens(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["token", "count"])
-
-    return Model(int(total), int(distinct), starts, shards, whole, regions, keys, counts, tokens.select("payload").mapInArrow(rows, "token long, count long"))
+    return Model(int(total), int(distinct), starts, shards, whole, regions, keys, counts, tokens.select("shard", F.col("payload").alias("bits")), token_shards)
 
 
 def run_scores(ids: np.ndarray, edge: np.ndarray, c: np.ndarray, m: dict, levels: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
@@ -336,6 +330,15 @@ def block_counts(texts: pa.Array, train: pa.Array, shards: int) -> tuple[np.ndar
     return keys, counts, shard_edges(keys, shards)
 
 
+def block_tokens(texts: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different tokens of a block's texts by shard, sorted within it, and where each shard begins; the last edge is the end."""
+    parts = [np.unique(ids) for ids, _ in token_runs(texts)]
+    keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    at = shard_of(keys, shards)
+    order = np.argsort(at, kind="stable")
+    return keys[order], np.searchsorted(at[order], np.arange(shards + 1))
+
+
 def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Rows of a partition with the number of the block that they belong to: the rows' places decide, so a second reading of
     the same partition gives the same blocks."""
@@ -350,17 +353,26 @@ def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
                 yield int(number[i]), b.slice(i, k - i)
 
 
-def asked_pairs(rows: DataFrame, shards: int) -> DataFrame:
+def asked_of_blocks(rows: DataFrame, shards: int, token_shards: int) -> DataFrame:
     """(block, shard, keys, counts): the different pairs of each block, by shard, and how often they occur in its training texts;
+    and its different tokens, whose shards are given as -1 - shard.  Without shards of one kind, it isn't asked for.
     rows have their partition's number in part, and whether they are learned from in train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked(block: int, texts: list[pa.Array], train: list[pa.Array]) -> pa.RecordBatch:
-            keys, counts, edge = block_counts(pa.concat_arrays(texts), pa.concat_arrays(train), shards)
-            use = [s for s in range(shards) if edge[s] < edge[s + 1]]
-            raw = [pack_keys(keys[edge[s] : edge[s + 1]] & LOW) for s in use]
-            n = [pack_counts(counts[edge[s] : edge[s + 1]]) for s in use]
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(raw, pa.binary()), pa.array(n, pa.binary())], ["block", "shard", "keys", "counts"])
+            at, raw, n = [], [], []
+            if shards:
+                keys, counts, edge = block_counts(pa.concat_arrays(texts), pa.concat_arrays(train), shards)
+                at = [s for s in range(shards) if edge[s] < edge[s + 1]]
+                raw = [pack_keys(keys[edge[s] : edge[s + 1]] & LOW) for s in at]
+                n = [pack_counts(counts[edge[s] : edge[s + 1]]) for s in at]
+            if token_shards:
+                keys, edge = block_tokens(pa.concat_arrays(texts), token_shards)
+                use = [s for s in range(token_shards) if edge[s] < edge[s + 1]]
+                at += [-1 - s for s in use]
+                raw += [keys[edge[s] : edge[s + 1]].astype("<u8").tobytes() for s in use]
+                n += [None] * len(use)
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(raw, pa.binary()), pa.array(n, pa.binary())], ["block", "shard", "keys", "counts"])
 
         now, texts, train = None, [], []
         for number, b in blocked(batches):
@@ -415,23 +427,42 @@ def answered(asked: pa.Table, filter_: np.ndarray) -> pa.Table:
     return pa.table([asked.column("block"), asked.column("shard"), pa.array(q, pa.binary()), pa.array([xxhash.xxh32_intdigest(x) for x in raw], pa.int64())], ["block", "shard", "q", "check"])
 
 
+def token_answers(asked: pa.Table, payload: bytes | None) -> pa.Table:
+    """As answered: exact counts of each block's tokens in the shard, whose counts payload has, in the order of block_tokens."""
+    keys, counts = unpack_tokens(payload) if payload is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    raw, q = asked.column("keys").to_pylist(), []
+    for x in raw:
+        own = np.frombuffer(x, "<u8")
+        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        q.append(pack_counts(np.where(keys[at] == own, counts[at], 0) if len(keys) else np.zeros(len(own), np.int64)))
+    return pa.table([asked.column("block"), asked.column("shard"), pa.array(q, pa.binary()), pa.array([xxhash.xxh32_intdigest(x) for x in raw], pa.int64())], ["block", "shard", "q", "check"])
+
+
 def looked_up(asked: DataFrame, model: Model) -> DataFrame:
-    """The answers of the model's regions, or of those of the pairs that are asked."""
+    """The answers of the model's regions, or of those of the pairs that are asked, and of the counts of its tokens."""
 
     def answer(asked: pa.Table, region: pa.Table) -> pa.Table:
         bits = region.column("bits").to_pylist()
+        if len(asked) and asked.column("shard")[0].as_py() < 0:
+            return token_answers(asked, bits[0] if bits else None)
         return answered(asked, np.frombuffer(bits[0], np.uint8) if bits else np.zeros(0, np.uint8))
 
-    def count_and_answer(asked: pa.Table) -> pa.Table:
+    def count_and_answer(asked: pa.Table, tokens: pa.Table) -> pa.Table:
+        if not len(asked) or asked.column("shard")[0].as_py() < 0:
+            return answer(asked, tokens)
         each = [all_keys(x) for x in asked.column("keys").to_pylist()]
         n = [unpack_counts(x, len(k)) for x, k in zip(asked.column("counts").to_pylist(), each, strict=True)]
         seen = [x > 0 for x in n]
         keys, counts = summed(np.concatenate([k[x] for k, x in zip(each, seen, strict=True)]), np.concatenate([k[x] for k, x in zip(n, seen, strict=True)]))
         return answered(asked, fill(keys, counts))
 
-    if model.regions is None:
-        return asked.groupBy("shard").applyInArrow(count_and_answer, ANSWERS)
-    return asked.drop("counts").groupBy("shard").cogroup(model.regions.groupBy("shard")).applyInArrow(answer, ANSWERS)
+    tokens = model.tokens.withColumn("shard", -1 - F.col("shard"))
+    if model.regions is None and model.filter is None:
+        if model.keys is not None:
+            return asked.groupBy("shard").applyInArrow(lambda t: count_and_answer(t, t.slice(0, 0)), ANSWERS)
+        return asked.groupBy("shard").cogroup(tokens.groupBy("shard")).applyInArrow(count_and_answer, ANSWERS)
+    known = tokens if model.filter is not None else model.regions if model.keys is not None else model.regions.unionByName(tokens)
+    return asked.drop("counts").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, ANSWERS)
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -442,7 +473,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     m = {"total": model.total, "distinct": model.distinct, "starts": model.starts, "shards": model.shards}
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), in_training().alias("train"))
-    if model.filter is None and "Exchange" in own._jdf.queryExecution().executedPlan().toString():
+    if (model.filter is None or model.keys is None) and "Exchange" in own._jdf.queryExecution().executedPlan().toString():
         own = cut(own)  # read twice, and what comes from a shuffle may come in another order
 
     def emit(ids: list, got: list) -> pa.RecordBatch:
@@ -450,73 +481,61 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([crc_bucket(i, MODULUS) == HELD for i in ids], pa.bool_()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    if model.keys is not None:
-        counts = spark.sparkContext.broadcast((model.keys, model.counts))
-        rows = own
-
-        def counted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            keys, n = counts.value
-            for ids, edge in token_runs(b.column("text")):
-                own_ids, back = np.unique(ids, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, own_ids), max(len(keys) - 1, 0))
-                c = np.where(keys[at] == own_ids, n[at], 0) if len(keys) else np.zeros(len(own_ids), np.int64)
-                yield ids, edge, c[back]
-
-    else:
-        # each document's different tokens meet their counts in a join, and come back beside the text's row
-        named = own.withColumn("row", F.monotonically_increasing_id())
-        named = cut(named.select("row", "doc_id", "text", "train"))
+    counts = spark.sparkContext.broadcast((model.keys, model.counts)) if model.keys is not None else None
+    filter_ = spark.sparkContext.broadcast(model.filter) if model.filter is not None else None
+    whole_levels = lambda keys: probe(*filter_.value, shard_of(keys, m["shards"]), keys)
 
-        def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = iter(b.column("row").to_pylist())
-                for ids, edge in token_runs(b.column("text")):
-                    for i, k in zip(edge[:-1], edge[1:], strict=True):
-                        own_ids = np.unique(ids[i:k])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own_ids), next(rows))), pa.array(own_ids.view(np.int64))], ["row", "token"])
-
-        met = named.select("row", "text").mapInArrow(tokens_of, "row long, token long").join(model.table, "token")
-        found = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("token", "count"))).alias("found"))  # one document's own
-        rows = named.join(found, "row", "left").select("doc_id", "text", "train", "found")
-        if model.filter is None:
-            rows = cut(rows)  # read twice
-
-        def counted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            found_ = iter(b.column("found"))
-            for ids, edge in token_runs(b.column("text")):
-                c = np.zeros(len(ids), np.int64)
-                for i, k in zip(edge[:-1], edge[1:], strict=True):
-                    known = {x["token"]: x["count"] for x in next(found_).as_py() or ()}
-                    c[i:k] = [known.get(x, 0) for x in ids[i:k].view(np.int64).tolist()]
-                yield ids, edge, c
+    def counted(b: pa.RecordBatch, keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs with the tokens' counts, from sorted keys with counts."""
+        for ids, edge in token_runs(b.column("text")):
+            own_ids, back = np.unique(ids, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, own_ids), max(len(keys) - 1, 0))
+            c = np.where(keys[at] == own_ids, n[at], 0) if len(keys) else np.zeros(len(own_ids), np.int64)
+            yield ids, edge, c[back]
 
-    if model.filter is not None:
-        filter_ = spark.sparkContext.broadcast(model.filter)
+    if counts is not None and filter_ is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                levels = lambda keys: probe(*filter_.value, shard_of(keys, m["shards"]), keys)
-                yield emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)])
+                yield emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, whole_levels) for x in counted(b, *counts.value)])
 
-        out = rows.mapInArrow(run, OUT)
+        out = own.mapInArrow(run, OUT)
     else:
-        parted = rows.withColumn("part", F.spark_partition_id().cast("long"))
+        parted = own.withColumn("part", F.spark_partition_id().cast("long"))
+        pair_shards, token_shards = 0 if filter_ is not None else model.shards, 0 if counts is not None else model.token_shards
 
-        def run_block(t: pa.Table, answers: pa.Table) -> pa.Table:
-            own = pa.ipc.open_stream(t.column("rows")[0].as_buffer()).read_all().combine_chunks()
-            keys, edge = block_pairs(own.column("text").combine_chunks(), m["shards"])
-            q, met = np.zeros(len(keys), np.uint8), 0
+        def met(answers: pa.Table, keys: np.ndarray, edge: np.ndarray, packed: Callable[[np.ndarray], bytes], read: Callable[[bytes, int], np.ndarray], sign: int) -> np.ndarray:
+            """What the answers of one kind say of a block's keys."""
+            got, n = np.zeros(len(keys), np.int64), 0
             for s, raw, check in zip(*(answers.column(c).to_pylist() for c in ("shard", "q", "check")), strict=True):
-                if check != xxhash.xxh32_intdigest(pack_keys(keys[edge[s] : edge[s + 1]] & LOW)):
+                if (s < 0) != (sign < 0):
+                    continue
+                i, k = (edge[x] for x in ((s, s + 1) if s >= 0 else (-1 - s, -s)))
+                if check != xxhash.xxh32_intdigest(packed(keys[i:k])):
                     raise RuntimeError("the documents came in another order: checkpoint them first")
-                q[edge[s] : edge[s + 1]] = np.frombuffer(zlib.decompress(raw), np.uint8)
-                met += edge[s + 1] - edge[s]
-            if len(t) != 1 or met != len(keys):
+                got[i:k] = read(raw, k - i)
+                n += k - i
+            if n != len(keys):
                 raise RuntimeError("the documents came in another order: checkpoint them first")
-            levels = lambda own_keys: q[np.searchsorted(keys, compact(own_keys, m["shards"]))].astype(np.int64)
-            return pa.Table.from_batches([emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b)]) for b in own.to_batches()])
+            return got
 
-        answers = looked_up(asked_pairs(parted, m["shards"]), model)
+        def run_block(t: pa.Table, answers: pa.Table) -> pa.Table:
+            if len(t) != 1:
+                raise RuntimeError("the documents came in another order: checkpoint them first")
+            own = pa.ipc.open_stream(t.column("rows")[0].as_buffer()).read_all().combine_chunks()
+            texts, levels, known = own.column("text").combine_chunks(), whole_levels, counts.value if counts is not None else None
+            if pair_shards:
+                pairs, edge = block_pairs(texts, pair_shards)
+                q = met(answers, pairs, edge, lambda x: pack_keys(x & LOW), lambda raw, n: np.frombuffer(zlib.decompress(raw), np.uint8, n), 1)
+                levels = lambda own_keys: q[np.searchsorted(pairs, compact(own_keys, pair_shards))]
+            if token_shards:
+                tokens, edge = block_tokens(texts, token_shards)
+                n = met(answers, tokens, edge, lambda x: x.astype("<u8").tobytes(), unpack_counts, -1)
+                order = np.argsort(tokens)
+                known = tokens[order], n[order]
+            return pa.Table.from_batches([emit(b.column("doc_id").to_pylist(), [run_scores(*x, m, levels) for x in counted(b, *known)]) for b in own.to_batches()])
+
+        answers = looked_up(asked_of_blocks(parted, pair_shards, token_shards), model)
         out = in_blocks(parted.drop("train")).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run_block, OUT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 

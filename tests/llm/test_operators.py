@@ -455,6 +455,19 @@ def test_lm_pairs_travel_once(docs, empty, spark, bounds):
     assert np.array_equal(keys, same_keys) and np.array_equal(edge, same_edge) and sorted(n.tolist()) == [0, 0, 1, 1, 1, 1, 2]
 
 
+def test_lm_vocabulary_beyond_broadcast(docs):
+    """Tokens too many to broadcast meet their counts by blocks: no row per document and token is joined or gathered, and no text
+    is checkpointed for it; scores are the same, with a filter that is broadcast, one that is not, and pairs counted in place."""
+    flat = lambda d: sorted((str(x.doc_id), x.n_tokens, x.n_known, x.base_score, x.score) for x in d.collect())
+    want = flat(bloomlm.score(docs, bloomlm.learn(docs)))
+    for how in ({}, {"filter_bytes": 1}, {"pairs": False}):
+        d = bloomlm.score(docs, bloomlm.learn(docs, 1, **how))
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "Join" not in plan
+        got = flat(d)
+        assert all(g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-12) for g, w in zip(got, want, strict=True))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 64))
