@@ -7,6 +7,9 @@ chunks that it has.  Files are dealt to waves; a wave cuts its files, calls the
 and is written once, so no call is repeated by a count or a second action.  A chunk is called once in a run, whether it
 fails or not, and again when the run is resumed.  A wave's tasks stop calling after wave_seconds and leave the rest to the
 wave's next pass, so a stop request waits no longer, and an abort loses no more.  No sentence or prompt is stored.
+
+A wave reads no more than its own files: what tells where their texts are, or the texts of a corpus that can't be read by
+name, is found once for all of a run's files and lies with its waves until the run ends.
 """
 
 from __future__ import annotations
@@ -118,16 +121,17 @@ class Queued:
 
 
 class Engine:
-    """sentences(files) gives the files their sentences column, null where a file's text is missing; client() makes one
-    client per task; wave: files that are worked on together; concurrency: calls at a time."""
+    """sentences(files) gives the files of a wave their sentences column, null where a file's text is missing, and reads nothing
+    that is larger than they are; placed(files) gives all files of a run, at once, the columns that sentences needs for that;
+    client() makes one client per task; wave: files that are worked on together; concurrency: calls at a time."""
 
-    def __init__(self, catalog: Catalog, client: Callable[[], Client], sentences: Callable[[DataFrame], DataFrame], concurrency: int = 4, wave: int = 2000, wave_seconds: float = 60.0, ensure_model: Callable[[str], None] | None = None) -> None:
+    def __init__(self, catalog: Catalog, client: Callable[[], Client], sentences: Callable[[DataFrame], DataFrame], concurrency: int = 4, wave: int = 2000, wave_seconds: float = 60.0, ensure_model: Callable[[str], None] | None = None, placed: Callable[[DataFrame], DataFrame] | None = None) -> None:
         if not 1 <= concurrency <= 64:
             raise SearchError("the concurrency must be 1 to 64")
         if wave < 1 or wave_seconds <= 0:
             raise SearchError("a wave needs a file and some time")
         self.catalog, self.client, self.sentences, self.concurrency, self.wave, self.wave_seconds = catalog, client, sentences, concurrency, wave, wave_seconds
-        self.ensure_model = ensure_model or (lambda model: None)
+        self.ensure_model, self.placed = ensure_model or (lambda model: None), placed or (lambda files: files)
         self._stop = threading.Event()
 
     def request_stop(self) -> None:
@@ -196,7 +200,10 @@ class Engine:
         anyhow = manifest.select.model_copy(update={"exclude_adult": False, "title_types": (), "years": type(manifest.select.years)()})
         have = self.catalog.read("ledger").where(F.col("run_id") == run_id).groupBy("file_id").agg(F.collect_set("chunk_index").alias("have"))  # of one file
         titled = select_files(files, self.catalog.read("titles"), anyhow).join(have, "file_id", "left")
-        titled.withColumn("wave", F.pmod(F.xxhash64("file_id"), F.lit(waves)).cast("int")).repartition("wave").write.partitionBy("wave").parquet(path)
+        deal = F.xxhash64("file_id")
+        dealt = self.placed(titled).withColumn("wave", F.pmod(deal, F.lit(waves)).cast("int"))
+        # as many files a wave as calls at a time, so that its chunks are cut by as many tasks
+        dealt.repartition("wave", F.pmod(F.xxhash64(deal), F.lit(self.concurrency))).write.partitionBy("wave").parquet(path)
         return waves
 
     def _pass(self, run_id: int, session: str, manifest: Manifest, files: DataFrame, passes: list[dict]) -> bool:

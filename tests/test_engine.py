@@ -7,6 +7,7 @@ import time
 import uuid
 import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -17,7 +18,7 @@ from millrace import cli, config
 from millrace.errors import ArchiveError, CatalogError, ConfigurationError, ManifestError, MetadataError, ModelError, SchemaVersionError, SearchError
 from millrace.functions import jsonout, text
 from millrace.operators import search, tables
-from millrace.plans import manifest
+from millrace.plans import flows, manifest
 from millrace.sources import releases, titles_tsv, zip_corpus
 
 XML = """<?xml version="1.0"?><!-- holds <s> and <time> --><document id="1">
@@ -305,6 +306,22 @@ def test_waves_stop_in_time(shelf):
     assert e.resume(1).chunks_done == 6 == len(list(calls.iterdir()))
 
 
+def test_waves_read_their_own_files(spark, tmp_path):
+    """The table of texts is read once a run, and not again by each wave; what lies with the waves goes with the run."""
+    d = str(tmp_path / "d")
+    spark.createDataFrame([(i, f"license {i}\nline", "en", "s") for i in range(1, 8)], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 8)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    c = flows.filled(spark, d)
+    e, read, placed = flows.engine(spark, d, c), [], []
+    e.wave, own, all_ = 1, e.sentences, e.placed
+    e.sentences = lambda f: (read.append(own(f).inputFiles()), own(f))[1]
+    e.placed = lambda f: (placed.append(1), all_(f))[1]
+    out = e.start(manifest.parse(flows.SOURCE))
+    assert (out.files_done, out.matches, len(placed)) == (7, 7, 1) and len(read) > 1
+    assert not [f for fs in read for f in fs if "documents.parquet" in f]
+    assert not [f.name for f in Path(c.root.removeprefix("file:")).iterdir() if f.name.startswith("_work")]
+
+
 def test_files_without_text(shelf):
     c, calls, _ = shelf
     empty = lambda f: text.plain_sentences(f.withColumn("text", F.when(F.col("subtitle_id") != "1", F.when(F.col("subtitle_id") == "2", F.lit(" \n")).otherwise(F.lit("a"))))).drop("text")
