@@ -146,7 +146,7 @@ def _engine(c: Context, concurrency: int | None) -> search.Engine:
     host, timeout = s.model_host, s.model_timeout
     make = c.client or (lambda: search.HttpClient(host, timeout))
     ensure = None if c.client else search.HttpClient(host, timeout).ensure_model
-    return search.Engine(c.catalog, make, lambda files: text.with_sentences(zip_corpus.contents(files, archive)), concurrency or s.concurrency, ensure_model=ensure)
+    return search.Engine(c.catalog, make, lambda files: text.with_sentences(zip_corpus.contents(files, archive)), concurrency or s.concurrency, ensure_model=ensure, placed=lambda files: zip_corpus.placed(files, archive))
 
 
 @contextmanager

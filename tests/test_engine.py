@@ -56,6 +56,43 @@ def test_archive(spark, archive, tmp_path):
             zip_corpus.check_archive(str(tmp_path / p))
 
 
+def test_archive_is_read_by_ranges(spark, archive, tmp_path):
+    """A task reads its range of the directory, and members by name come by their records: no process opens all of it."""
+    names = [r.rel_path for r in zip_corpus.members(spark, archive).collect()]
+    want = spark.createDataFrame([(i, n) for i, n in enumerate([*names, "no", None, names[0]])], "i int, rel_path string")
+    placed = zip_corpus.placed(want, archive)
+    records = {r.rel_path: r.zip_record for r in placed.collect()}
+    assert len(records) == 15 and all((n in names) == (r is not None and n.encode() in bytes(r)) for n, r in records.items() if n)
+    got = {r.i: r.content for r in zip_corpus.contents(placed, archive).collect()}
+    assert len(got) == 16 and got[13] is got[14] is None and got[15] == got[0]
+    with zipfile.ZipFile(archive) as z:
+        assert all(bytes(got[i]) == z.read(n) for i, n in enumerate(names))
+    r = zip_corpus.ZipReader(archive, 4, True, False)
+    ranges = r.partitions()
+    assert len(ranges) == 4 and not any("names" in vars(x) for x in ranges)
+    assert sum(b.num_rows for x in ranges for b in r.read(x)) == 15
+    # of two members of one name the last counts; the archive may stand after other bytes
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z, pytest.warns(UserWarning):
+        for x in ("a", "b"):
+            z.writestr("x.xml", x)
+    (tmp_path / "e.zip").write_bytes(b"other" + (tmp_path / "d.zip").read_bytes())
+    assert zip_corpus.open_member(spark, str(tmp_path / "e.zip"), "x.xml") == b"b"
+
+
+def test_archive_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    """No content comes to the driver, and what is written is a whole zip."""
+    rows = [(f"C/é{i}.xml", f"text {i}\n" * i) for i in range(60)]
+    d = spark.createDataFrame(rows, "rel_path string, content string").repartition(5)
+    monkeypatch.setattr(type(d), "toLocalIterator", None)
+    zip_corpus.written(d, str(tmp_path / "a.zip"), ("C/", "C/README"))
+    assert [p.name for p in tmp_path.iterdir()] == ["a.zip"]
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        assert z.testzip() is None and sorted(z.namelist()) == sorted(["C/", "C/README", *dict(rows)])
+        assert all(z.read(n).decode() == c for n, c in rows)
+    zip_corpus.written(d.limit(0), str(tmp_path / "b.zip"))
+    assert zip_corpus.members(spark, str(tmp_path / "b.zip")).count() == 0
+
+
 def test_xml_sentences(spark):
     rows = text.with_sentences(spark.createDataFrame([(1, XML), (2, "no sentence")], "i int, content string")).collect()
     got = [(s.idx, s.id, s.text, s.start, s.end) for s in rows[0].sentences]
