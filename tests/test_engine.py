@@ -10,6 +10,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -56,6 +57,23 @@ def test_archive(spark, archive, tmp_path):
             zip_corpus.check_archive(str(tmp_path / p))
 
 
+def test_xml_is_read_in_slices(spark, monkeypatch):
+    """A batch of documents is passed on in slices of bounded bytes, and each document is read once, whatever uses its sentences."""
+    monkeypatch.setattr(text, "RUN_BYTES", 1000)
+    docs = pa.array([XML.encode(), None, b"", b"no sentence"] * 20, pa.binary())
+    got = list(text.sentence_lists(docs))
+    assert len(got) > 5 and max(len(x) for x in got) <= 20 and sum(map(len, got)) == len(docs)
+    rows = [x for g in got for x in g.to_pylist()]
+    assert [len(x) for x in rows[::4]] == [4] * 20 and rows[1::4] == [None] * 20 and rows[2::4] == rows[3::4] == [[]] * 20
+    d = text.chunked(text.with_sentences(spark.createDataFrame([(1, XML)], "i int, content string")).drop("content"), 2, 1)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
+    assert [r.chunk_index for r in d.collect()] == [0, 1, 2]
+    # white space is that of ASCII where markup is told apart, as in the JVM, and any where texts are collapsed
+    ids, texts, *_ = text.read_xml('<s id="1">a\u00a0 b<s\u00a0id="2">c</s ><S>d<s/>e')
+    assert ids == ["1", ""] and texts == ["a bc", ""]
+
+
 def test_archive_is_read_by_ranges(spark, archive, tmp_path):
     """A task reads its range of the directory, and members by name come by their records: no process opens all of it."""
     names = [r.rel_path for r in zip_corpus.members(spark, archive).collect()]
